@@ -79,7 +79,7 @@ def compiled(rules=None) -> Column:
         "symbol_ratio": F.col("n_symbols") / n,
         "mark_ratio": F.col("n_marks") / n,
         "dup_line_ratio": F.col("n_dup_lines") / lines,
-        "stop_words_short": F.when(F.col("n_words") >= 30, F.col("n_stop_words")),
+        "stop_words_short": F.when(F.col("n_words") >= 50, F.col("n_stop_words")),
         "stop_words": F.when(F.col("n_words") >= 80, F.col("n_stop_words")),
     }
     ok = F.lit(True)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from textloom.llm import exact_dedup, quality, url_filter
+from textloom.llm import bpe, exact_dedup, quality, url_filter
 
 QUERIES = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op8_bpe": bpe.op8_bpe,
     "op9_quality_rules": quality.op9_quality_rules,
 }
 ORACLE_SQL = {
