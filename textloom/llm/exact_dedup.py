@@ -26,10 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm import bloom
 from textloom.llm.common import shuffle_partitions, small_batches, table, written
 
-CHUNK_BITS = 16
-
 
 def _digest(batches):
     for b in batches:
@@ -38,48 +37,20 @@ def _digest(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.hex() for r in raw]), pa.array([int.from_bytes(r[:8], "big", signed=True) for r in raw], pa.int64()), b.column(2)], ["doc_id", "sha", "h", "row_id"])
 
 
-def _slots(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two slots of each hash, from its independent halves."""
-    u = h.view(np.uint64)
-    return (u >> np.uint64(64 - bits)), ((u & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - bits))
-
-
 def _hits(bits: int):
     def run(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            h = b.column(0).to_numpy(zero_copy_only=False)
-            slot = np.concatenate(_slots(h, bits))
-            slot.sort()
-            cut = np.flatnonzero(np.diff(slot >> np.uint64(CHUNK_BITS))) + 1
-            parts = np.split(slot, cut)
-            yield pa.RecordBatch.from_arrays([pa.array([int(p[0] >> np.uint64(CHUNK_BITS)) for p in parts], pa.int64()), pa.array([(p & np.uint64(0xFFFF)).astype("<u2").tobytes() for p in parts], pa.binary())], ["chunk", "hit"])
+            if b.num_rows:
+                yield bloom.hit_batch(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits)
 
     return run
 
 
-def _merge(batches):
-    counts: dict[int, np.ndarray] = {}
-    for b in batches:
-        for c, hit in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            seen = counts.setdefault(c, np.zeros(1 << CHUNK_BITS, np.uint8))
-            k, n = np.unique(np.frombuffer(hit, "<u2"), return_counts=True)
-            seen[k] = np.minimum(seen[k] + np.minimum(n, 2), 2)
-    for c, seen in counts.items():
-        if (twice := seen >= 2).any():
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())], ["chunk", "twice"])
-
-
 def _probe(bits: int, shared):
     def run(batches):
-        filt = np.frombuffer(shared.value, np.uint8)
         for b in batches:
-            h = b.column(b.schema.get_field_index("h")).to_numpy(zero_copy_only=False)
-            maybe = np.ones(len(h), bool)
-            for s in _slots(h, bits):
-                maybe &= (filt[s >> np.uint64(3)] >> (s & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(maybe)], [*b.schema.names, "maybe"])
+            h = b.column(b.schema.get_field_index("h")).to_numpy(zero_copy_only=False).view(np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bloom.maybe_twice(shared.value, h, bits))], [*b.schema.names, "maybe"])
 
     return run
 
@@ -89,14 +60,8 @@ def exact_groups(docs: DataFrame, max_filter_bits: int = 28) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     digests = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row_id")).mapInArrow(_digest, "doc_id long, sha string, h long, row_id long"))
-    bits = int(min(max_filter_bits, max(CHUNK_BITS, np.ceil(np.log2(16 * max(1, digests.count()))))))
-    hits = digests.select("h").mapInArrow(_hits(bits), "chunk long, hit binary")
-    merged = hits.repartition(min(shuffle_partitions(spark), 1 << (bits - CHUNK_BITS)), "chunk").mapInArrow(_merge, "chunk long, twice binary")
-    filt = bytearray(1 << (bits - 3))
-    for r in merged.toLocalIterator():  # at most max_filter_bits / 8 bytes in all
-        at = r.chunk << (CHUNK_BITS - 3)
-        filt[at : at + len(r.twice)] = r.twice
-    shared = spark.sparkContext.broadcast(bytes(filt))
+    bits = bloom.filter_bits(digests.count(), 16, max_filter_bits)
+    shared = bloom.twice_filter(digests.select("h").mapInArrow(_hits(bits), bloom.HITS), bits)
     probed = digests.mapInArrow(_probe(bits, shared), digests.schema.simpleString()[7:-1].replace(":", " ") + ", maybe boolean")
     alone = probed.where("not maybe").select("doc_id", "row_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
     # A hot group is summed and joined by (hash, salt), never in one task.
