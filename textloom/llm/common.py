@@ -48,3 +48,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def let(value: Column, body) -> Column:
     """Evaluates value once and binds it in body, also inside lambdas."""
     return F.transform(F.array(value), body)[0]
+
+
+def attach(rows: DataFrame, keys: list[str], partial: dict[str, Column], final: dict[str, Column], salt: str) -> DataFrame:
+    """rows with aggregates of their key group.  Groups are summed and joined by
+    (key, salt), with the salt drawn from a column that differs within a group, so
+    that a hot group is never in one task."""
+    n = max(16, shuffle_partitions(rows.sparkSession))
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(salt), F.lit(n)))
+    part = salted.groupBy(*keys, "__salt").agg(*[c.alias(k) for k, c in partial.items()])
+    whole = part.groupBy(*keys).agg(*[c.alias(k) for k, c in final.items()])
+    by_salt = part.select(*keys, "__salt").join(whole, keys)
+    return salted.join(by_salt, [*keys, "__salt"]).drop("__salt")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import bloom
-from textloom.llm.common import shuffle_partitions, small_batches, table, written
+from textloom.llm.common import attach, small_batches, table, written
 
 
 def _digest(batches):
@@ -65,12 +65,8 @@ def exact_groups(docs: DataFrame, max_filter_bits: int = 28) -> DataFrame:
     probed = digests.mapInArrow(_probe(bits, shared), digests.schema.simpleString()[7:-1].replace(":", " ") + ", maybe boolean")
     alone = probed.where("not maybe").select("doc_id", "row_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
     # A hot group is summed and joined by (hash, salt), never in one task.
-    salts = max(16, shuffle_partitions(spark))
-    again = probed.where("maybe").withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(salts)))
-    part = again.groupBy("sha", "salt").agg(F.max(F.struct("doc_id", "row_id")).alias("top"), F.count("*").alias("n"))
-    whole = part.groupBy("sha").agg(F.max("top").alias("keep"), F.sum("n").alias("group_size"))
-    by_salt = part.select("sha", "salt").join(whole, "sha")
-    found = again.join(by_salt, ["sha", "salt"]).select("doc_id", "row_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row_id") == F.col("keep.row_id")).alias("kept"), F.col("sha").alias("text_sha256"))
+    again = attach(probed.where("maybe"), ["sha"], {"top": F.max(F.struct("doc_id", "row_id")), "n": F.count("*")}, {"keep": F.max("top"), "group_size": F.sum("n")}, "row_id")
+    found = again.select("doc_id", "row_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row_id") == F.col("keep.row_id")).alias("kept"), F.col("sha").alias("text_sha256"))
     return alone.unionByName(found)
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from textloom.llm import bpe, exact_dedup, quality, substring_dedup, url_filter
+from textloom.llm import bpe, exact_dedup, near_dedup, quality, substring_dedup, url_filter
 
 QUERIES = {
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op5_bagminhash": near_dedup.op5_bagminhash,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_bpe": bpe.op8_bpe,
