@@ -42,6 +42,10 @@ SMALL = 8
 GOLD = U(0x9E3779B97F4A7C15)
 
 
+def _step(i: int) -> np.uint64:
+    return U(i * int(GOLD) & 0xFFFFFFFFFFFFFFFF)
+
+
 def shingles(texts: list[bytes | None], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(row, shingle hash, count) of each distinct shingle, by row; rows."""
     word, row, first = _parse(texts)
@@ -75,14 +79,14 @@ def signatures(row: np.ndarray, sh: np.ndarray, count: np.ndarray, rows: int, m:
         low = 0 if lv == 0 else 1 << (lv - 1)
         i = np.flatnonzero(count > low)
         span = max(1, low)
-        parts.append((row[i], mix(sh[i] + U(lv) * GOLD), np.full(len(i), span, np.uint64), np.full(len(i), low, np.int64), count[i]))
+        parts.append((row[i], mix(sh[i] + _step(lv)), np.full(len(i), span, np.uint64), np.full(len(i), low, np.int64), count[i]))
     if not parts:
         return sig.reshape(rows, m)
     r, seed, span, low, c = (np.concatenate(x) for x in zip(*parts))
     x, t = np.zeros(len(r)), 0
     while len(r):
         t += 1
-        u = mix(seed + U(t) * GOLD)
+        u = mix(seed + _step(t))
         v = mix(u ^ U(0x5851F42D4C957F2D))
         x = x - np.log(((u >> U(11)).astype(np.float64) + 1) * 2.0**-53) / span
         key = (x.astype(np.float32).view(np.uint32).astype(np.uint64) << U(32)) | (v >> U(32))
