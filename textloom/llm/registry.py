@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from textloom.llm import bpe, exact_dedup, near_dedup, pii, quality, substring_dedup, url_filter
+from textloom.llm import bpe, exact_dedup, mixing, near_dedup, pii, quality, substring_dedup, url_filter
 
 QUERIES = {
     "op10_pii": pii.op10_pii,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op4_temperature_mixing": mixing.op4_temperature_mixing,
     "op5_bagminhash": near_dedup.op5_bagminhash,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_url_filter": url_filter.op7_url_filter,
