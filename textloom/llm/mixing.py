@@ -3,7 +3,8 @@
 Source token shares p are exponentiated, w ~ p ** a.  Bisection finds the
 largest a in [0, 1] whose entropy reaches a target share of the maximum, and the
 smallest a whose most repeated source stays within a limit of epochs; the larger
-of the two is used, so the repetition limit wins.  The bisection is one
+of the two is used, so the repetition limit wins; without an entropy target the limit
+alone sets it.  The bisection is one
 higher-order function over a row that holds the source shares.
 
 A source's budget is whole epochs plus a part.  The part is a prefix of a block
@@ -69,7 +70,7 @@ def temperature(shares: Column, entropy: float | None, max_epochs: float | None,
         return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step)
 
     n = F.size(shares)
-    high = F.lit(1.0) if entropy is None else F.when(spread(shares) >= entropy * F.log(n.cast("double")), F.lit(1.0)).otherwise(bisect(lambda w: spread(w) >= entropy * F.log(n.cast("double")))["lo"])
+    high = zero if entropy is None else F.when(spread(shares) >= entropy * F.log(n.cast("double")), F.lit(1.0)).otherwise(bisect(lambda w: spread(w) >= entropy * F.log(n.cast("double")))["lo"])
     low = zero if max_epochs is None else F.when(epochs(weights(zero)) * size(weights(zero)) <= max_epochs, zero).otherwise(bisect(lambda w: epochs(w) * size(w) > max_epochs)["hi"])
     return let(F.greatest(high, low), lambda a: let(weights(a), lambda w: F.struct(a.alias("a"), w.alias("w"), size(w).alias("size"))))
 
@@ -97,7 +98,8 @@ def source_plan(placed: DataFrame, entropy: float | None, max_epochs: float | No
 
 
 def mixed(docs: DataFrame, entropy: float | None = 0.95, max_epochs: float | None = 4.0, budget_tokens: float | None = None, cover: bool = False, seed: int = 17) -> DataFrame:
-    """docs with n_tokens, weight, epochs and copies: how often the mixture takes each."""
+    """docs with n_tokens, weight, epochs and copies: how often the mixture takes each.
+    cover: the budget gives each source one whole epoch at least, so no row is lost."""
     placed = _placed(docs, seed)
     small = written(placed.select("__src", "__n", "__o", "__o2"))
     plan = written(source_plan(small, entropy, max_epochs, budget_tokens, cover))
@@ -107,7 +109,7 @@ def mixed(docs: DataFrame, entropy: float | None = 0.95, max_epochs: float | Non
         salts = F.explode(F.sequence(F.lit(0), F.lit(63)).cast("array<bigint>"))
         joined = placed.withColumn("__salt", F.pmod("__o2", F.lit(64))).join(plan.withColumn("__salt", salts), ["__src", "__salt"], "left").drop("__salt")
     part = F.col("cut").isNull() | (F.col("__o") < F.col("cut")) | ((F.col("__o") == F.col("cut")) & (F.col("cut2").isNull() | (F.col("__o2") < F.col("cut2"))))
-    copies = F.coalesce("whole", F.lit(0)) + F.when(F.col("epochs").isNotNull() & (F.col("epochs") > F.col("whole")) & part, 1).otherwise(0)
+    copies = F.coalesce("whole", F.lit(int(cover))) + F.when(F.col("epochs").isNotNull() & (F.col("epochs") > F.col("whole")) & part, 1).otherwise(0)
     return joined.select(*docs.columns, F.col("__n").alias("n_tokens"), "weight", "epochs", copies.cast("int").alias("copies"))
 
 
