@@ -9,8 +9,9 @@
    reproduces the library's decode(ids, skip_special_tokens=False).
 
 White space separates pre-tokens in the tokenizers this is made for, so words
-encode independently.  No text is shuffled, blocks are bounded by bytes, and
-the packed blocks are written to the shared folder before they are joined.
+encode independently.  Blocks are bounded by bytes and are written once to the
+shared folder, bucketed by block: neither texts nor codes shuffle, only packed
+distinct words and their ids do.
 
 Defined results: a null or empty text has no tokens and decodes to an empty
 text; documents are encoded row by row, so ties, null ids and repeated rows
@@ -75,9 +76,7 @@ def _blocks(parts: int):
             z = zstandard.ZstdCompressor(level=1)
             cut = np.flatnonzero(np.diff(bucket[order])) + 1
             rows = [(block, int(bucket[g[0]]), 0, z.compress(b"\n".join([names[i] for i in g.tolist()])), None) for g in np.split(order, cut) if len(g)]
-            at = np.empty(len(names), np.uint32)
-            at[order] = np.arange(len(names), dtype=np.uint32)
-            body = b"".join(len(p).to_bytes(4, "little") + p for p in (pack(np.array(lengths, np.uint32)), pack(np.concatenate(codes) if codes else np.empty(0, np.uint32)), pack(at)))
+            body = b"".join(len(p).to_bytes(4, "little") + p for p in (pack(np.array(lengths, np.uint32)), pack(np.concatenate(codes) if codes else np.empty(0, np.uint32)), pack(bucket)))
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, pa.schema([("doc_id", pa.int64())])) as w:
                 w.write_batch(pa.RecordBatch.from_arrays([pa.array(docs, pa.int64())], ["doc_id"]))
@@ -137,59 +136,54 @@ def _encode(spec):
 
 
 def _join(spec, with_ids: bool):
-    """Joins ids back by position: the answers of a block come first, then its documents."""
+    """Joins ids back by position: a block's answers (right) with its documents (left)."""
 
-    def run(batches):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         t = tokenizer_of(spec.value)
-        pieces = [(t.id_to_token(i) or "").encode() for i in range(t.get_vocab_size())]
-        numbers = [str(i).encode() for i in range(len(pieces))]
-        now, lens, flat = None, [], []
-        for b in batches:
-            for block, kind, body, ids in zip(*(b.column(c).to_pylist() for c in ("block", "kind", "body", "ids"))):
-                if block != now:
-                    now, lens, flat = block, [], []
-                if kind == 0:
-                    lens.append(unpack(body))
-                    flat.append(unpack(ids))
-                    continue
-                n = np.concatenate(lens) if lens else np.empty(0, np.uint32)
-                all_ids = (np.concatenate(flat) if flat else np.empty(0, np.uint32)).tolist()
-                ends = np.cumsum(n, dtype=np.int64).tolist()
-                as_ids, as_text, start = [], [], 0
-                for end in ends:
-                    own = all_ids[start:end]
-                    as_ids.append(b" ".join([numbers[i] for i in own]))
-                    as_text.append(b" ".join([pieces[i] for i in own]))
-                    start = end
-                at, parts = 0, []
-                while at < len(body):
-                    k = int.from_bytes(body[at : at + 4], "little")
-                    parts.append(unpack(body[at + 4 : at + 4 + k]))
-                    at += 4 + k
-                lengths, codes, place = parts
-                codes = place[codes] if len(codes) else codes
-                docs = pa.ipc.open_stream(ids).read_all().column(0).to_pylist()
-                empty = bool((n == 0).any())
-                out, start = [], 0
-                for doc, k in zip(docs, lengths.tolist()):
-                    own = codes[start : start + k]
-                    start += k
-                    if empty:
-                        own = own[n[own] > 0]
-                    c = own.tolist()
-                    text_ids = b" ".join(map(as_ids.__getitem__, c))
-                    decoded = b" ".join(map(as_text.__getitem__, c))
-                    row = (doc, int(n[own].sum()) if c else 0, hashlib.sha256(text_ids).hexdigest(), hashlib.sha256(decoded).hexdigest())
-                    out.append(row + ((np.fromstring(text_ids.decode(), np.int32, sep=" ") if c else np.empty(0, np.int32),) if with_ids else ()))
-                    if len(out) >= 2000:
-                        yield _result(out, with_ids)
-                        out = []
-                if out:
-                    yield _result(out, with_ids)
+        right = right.sort_by("part")
+        lens = [unpack(x) for x in right.column("body").to_pylist()]
+        n = np.concatenate(lens) if lens else np.empty(0, np.uint32)
+        flat = [unpack(x) for x in right.column("ids").to_pylist()]
+        all_ids = (np.concatenate(flat) if flat else np.empty(0, np.uint32)).tolist()
+        piece = _PIECES.setdefault(id(t), [(t.id_to_token(i) or "").encode() for i in range(t.get_vocab_size())])
+        as_ids, as_text, start = [], [], 0
+        for end in np.cumsum(n, dtype=np.int64).tolist():
+            own = all_ids[start:end]
+            as_ids.append(b" ".join([b"%d" % i for i in own]))
+            as_text.append(b" ".join([piece[i] for i in own]))
+            start = end
+        empty = bool((n == 0).any())
+        out = []
+        for body, ids in zip(left.column("body").to_pylist(), left.column("ids").to_pylist()):
+            at, parts = 0, []
+            while at < len(body):
+                k = int.from_bytes(body[at : at + 4], "little")
+                parts.append(unpack(body[at + 4 : at + 4 + k]))
+                at += 4 + k
+            lengths, codes, bucket = parts
+            place = np.empty(len(bucket), np.int64)
+            place[np.argsort(bucket, kind="stable")] = np.arange(len(bucket))
+            codes = place[codes]
+            docs = pa.ipc.open_stream(ids).read_all().column(0).to_pylist()
+            start = 0
+            for doc, k in zip(docs, lengths.tolist()):
+                own = codes[start : start + k]
+                start += k
+                if empty:
+                    own = own[n[own] > 0]
+                c = own.tolist()
+                text_ids = b" ".join(map(as_ids.__getitem__, c))
+                decoded = b" ".join(map(as_text.__getitem__, c))
+                row = (doc, int(n[own].sum()) if c else 0, hashlib.sha256(text_ids).hexdigest(), hashlib.sha256(decoded).hexdigest())
+                out.append(row + ((np.array(text_ids.split(), np.int32),) if with_ids else ()))
+        return pa.Table.from_batches([_result(out, with_ids)])
 
     return run
 
 
+_PIECES: dict = {}
+
+
 def _result(rows, with_ids):
     cols = list(zip(*rows))
     types = [pa.int64(), pa.int64(), pa.string(), pa.string()] + [pa.list_(pa.int32())] * with_ids
@@ -203,10 +197,11 @@ def encode(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> Data
     parts = shuffle_partitions(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())  # a vocabulary file, a few MB
-    blocks = written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_blocks(parts), PACKED))
+    packed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_blocks(parts), PACKED)
+    blocks = written(packed, bucket_by="block", buckets=parts)
     answers = blocks.where("kind = 0").repartition(parts, "part").mapInArrow(_encode(spec), PACKED)
-    both = answers.unionByName(blocks.where("kind = 1")).repartition(parts, "block").sortWithinPartitions("block", "kind", "part")
-    return both.mapInArrow(_join(spec, with_ids), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return blocks.where("kind = 1").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_join(spec, with_ids), schema)
 
 
 def vocabulary(spark: SparkSession, tokenizer_path: str) -> DataFrame:

@@ -26,11 +26,16 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, bucket_by: str | None = None, buckets: int = 0) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: the lineage
-    is cut, and the rows survive the loss of any executor."""
+    is cut, and the rows survive the loss of any executor.  Bucketed rows can be
+    grouped by bucket_by without a shuffle."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/textloom/{uuid.uuid4().hex}"
+    name = f"textloom_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/textloom/{name}"
+    if bucket_by:
+        df.write.bucketBy(buckets, bucket_by).option("path", path).saveAsTable(name)
+        return spark.table(name)
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
