@@ -241,24 +241,28 @@ def _settle(batches):
 
 
 def _by_document(batches):
-    """Splits a unit's removed window starts by document."""
-    out: list[tuple] = []
-    keys = ends = None
+    """Splits a unit's removed window starts by document: a row a document at most."""
+
+    def split(keys, ends, held):
+        start = np.sort(np.concatenate(held)).astype(np.int64)
+        row = np.searchsorted(ends, start, side="right") - 1
+        out = []
+        for g in np.split(np.arange(len(start)), np.flatnonzero(np.diff(row)) + 1):
+            i = int(row[g[0]])
+            out.append((int(keys[i]), pack64((start[g] - ends[i]).astype("<u4"))))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary()))], ["key", "starts"])
+
+    keys, ends, held = None, None, []
     for b in batches:
         for kind, x, y in zip(*(b.column(c).to_pylist() for c in ("kind", "a", "b"))):
-            if kind == 0:
-                keys, ends = unpack64(x, np.int64), unpack64(y, np.int64)
+            if kind:
+                held.append(unpack64(x, "<u4"))
                 continue
-            start = unpack64(x, "<u4").astype(np.int64)
-            row = np.searchsorted(ends, start, side="right") - 1
-            for g in np.split(np.arange(len(start)), np.flatnonzero(np.diff(row)) + 1):
-                i = int(row[g[0]])
-                out.append((int(keys[i]), pack64((start[g] - ends[i]).astype("<u4"))))
-            if len(out) > 2000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary()))], ["key", "starts"])
-                out = []
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary()))], ["key", "starts"])
+            if held:
+                yield split(keys, ends, held)
+            keys, ends, held = unpack64(x, np.int64), unpack64(y, np.int64), []
+    if held:
+        yield split(keys, ends, held)
 
 
 def _apply(k: int, with_text: bool):
