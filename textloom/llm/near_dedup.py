@@ -236,8 +236,9 @@ def near_links(signed: DataFrame, texts: DataFrame, least: float = THRESHOLD) ->
     pairs, crowded = candidate_pairs(rows)
     links = verified(pairs)
     linked = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node")))
-    loose = crowded.join(linked.distinct(), "node", "left_anti").join(nodes, "node")
-    two = F.flatten(F.transform(F.sequence(F.lit(0), F.size("bands") - 2), lambda i: F.transform(F.sequence(i + 1, F.size("bands") - 1), lambda j: F.xxhash64(i, j, F.get("bands", i), F.get("bands", j)))))
+    # Two nodes that share a pair of bands share both, so a node's bands of one node play no part.
+    loose = crowded.join(linked.distinct(), "node", "left_anti").join(rows, "node").groupBy("node").agg(F.array_sort(F.collect_set("band")).alias("bands")).where("size(bands) > 1")
+    two = F.flatten(F.transform(F.sequence(F.lit(0), F.size("bands") - 2), lambda i: F.transform(F.sequence(i + 1, F.size("bands") - 1), lambda j: F.xxhash64(F.get("bands", i), F.get("bands", j)))))
     finer, _ = candidate_pairs(count(loose.select("node", F.explode(two).alias("band"))))
     return links.union(verified(finer))
 
