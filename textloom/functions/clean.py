@@ -18,6 +18,8 @@ HASHTAG = r"#\w+"
 SLASH_MENTION = r"(?i)(?:^|\s)[/\\]?(?:u|r)[/\\][a-z0-9_-]+"
 MENTION = r"[@#]\w+"
 EMOJI = r"[\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}\x{2702}-\x{27B0}\x{24C2}-\x{1F251}]+"
+#: White space of any script, as a class; cheaper than the Unicode flag.
+SPACE = r"\s\x{1C}-\x{1F}\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x85\x{2028}\x{2029}]"
 LINE_KEYWORDS = ["proof", "ask me anything", "ask us anything", "learn more", "look up the options", "all wrapped up", "here's who will be answering"]
 LINE_STARTS = ["**about ", "about ", "**edit", "edit:", "update:"]
@@ -35,27 +37,33 @@ def safe_text(c: Column) -> Column:
 
 def strip(c: Column) -> Column:
     """Removes leading and trailing white space of any script."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, rf"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
 def squeeze(c: Column) -> Column:
-    return strip(F.regexp_replace(c, r"(?U)\s+", " "))
+    return strip(F.regexp_replace(c, rf"[{SPACE}]+", " "))
+
+
+def _spaced(p: str) -> str:
+    return p.replace(r"\S", f"[^{SPACE}]").replace(r"|\s)", f"|[{SPACE}])")
+
+
+def _only(c: Column, keep: str) -> Column:
+    """Runs of all other characters, white space among them, become one space; trimmed."""
+    return F.trim(F.regexp_replace(c, f"[^{keep}]+", " "))
 
 
 def basic_clean(c: Column) -> Column:
     """Lower case; URLs, tags and non-word characters become spaces; spaces squeezed."""
     t = F.lower(safe_text(c))
-    for p in (URL, TAG, NON_WORD):
-        t = F.regexp_replace(t, "(?U)" + p, " ")
-    return squeeze(t)
+    for p in (URL, TAG):
+        t = F.regexp_replace(t, _spaced(p), " ")
+    return _only(t, "a-z0-9'")
 
 
 def serving_clean(c: Column) -> Column:
     """As basic_clean, but tags are not removed as a whole."""
-    t = F.lower(safe_text(c))
-    for p in (URL, NON_WORD):
-        t = F.regexp_replace(t, "(?U)" + p, " ")
-    return squeeze(t)
+    return _only(F.regexp_replace(F.lower(safe_text(c)), _spaced(URL), " "), "a-z0-9'")
 
 
 def repair_mojibake(c: Column) -> Column:
@@ -109,6 +117,6 @@ def full_clean(c: Column, normalise: bool = True) -> Column:
     t = F.regexp_replace(t, MARKDOWN_LINK, "$1")
     t = F.regexp_replace(t, r"\*+", " ")
     t = F.lower(F.regexp_replace(t, EMOJI, " "))
-    for p in (URL, TAG, HASHTAG, SLASH_MENTION, MENTION, r"\d+", NON_WORD):
-        t = F.regexp_replace(t, "(?U)" + p, " ")
-    return squeeze(t)
+    for p in (URL, TAG, "(?U)" + HASHTAG, SLASH_MENTION, "(?U)" + MENTION):
+        t = F.regexp_replace(t, _spaced(p), " ")
+    return _only(t, "a-z'")  # digits go with the other characters

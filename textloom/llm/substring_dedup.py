@@ -120,7 +120,7 @@ _WORDS: dict[bytes, int] = {}
 def _parse(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes of a batch of texts, the row of each, and each row's first word."""
     known, digest = _WORDS, xxhash.xxh3_64_intdigest
-    if len(known) > 1_000_000:
+    if len(known) > 200_000:  # bounds the memory of a Python worker
         known.clear()
     parts = []
     for t in texts:

@@ -77,11 +77,16 @@ def bow_counts(df: DataFrame, vocab: DataFrame, key: str = "doc_id", tokens: str
 
 def corpus_summary(df: DataFrame, k: int = 200, tokens: str = "tokens", kept: str = "tokens_no_stop", stemmed: str = "stemmed_tokens") -> DataFrame:
     """One row: documents, empty ones, mean token counts, exported and true distinct unigrams and bigrams."""
-    sizes = df.agg(F.count("*").alias("n_docs"), F.count_if(F.size(stemmed) == 0).alias("n_empty"), F.avg(F.size(tokens)).alias("avg_tokens"), F.avg(F.size(kept)).alias("avg_tokens_no_stop"), F.avg(F.size(stemmed)).alias("avg_stemmed"))
-    uni = unigram_freq(df, stemmed, None).agg(F.count("*").alias("unique_unigrams"))
-    bi = bigram_freq(df, stemmed, None).agg(F.count("*").alias("unique_bigrams"))
-    both = sizes.join(F.broadcast(uni)).join(F.broadcast(bi))  # one row each
-    return both.withColumns({"exported_unigrams": F.least(F.lit(k).cast("long"), "unique_unigrams"), "exported_bigrams": F.least(F.lit(k).cast("long"), "unique_bigrams")})
+    size = lambda c: F.size(c).cast("long")
+    # One pass: a row for each document and each of its grams, summed by gram before the shuffle.
+    doc = F.struct(F.lit("d").alias("kind"), F.lit(None).cast("string").alias("gram"), F.lit(1).cast("long").alias("docs"), size(tokens).alias("a"), size(kept).alias("b"), size(stemmed).alias("c"), (F.size(stemmed) == 0).cast("long").alias("e"))
+    zero = F.lit(0).cast("long")
+    grams = lambda kind, x: F.transform(F.array_distinct(x), lambda g: F.struct(F.lit(kind).alias("kind"), g.alias("gram"), zero.alias("docs"), zero.alias("a"), zero.alias("b"), zero.alias("c"), zero.alias("e")))
+    rows = df.select(F.explode(F.concat(F.array(doc), grams("u", F.col(stemmed)), grams("b", bigrams(stemmed)))).alias("r")).select("r.*")
+    per = rows.groupBy("kind", "gram").agg(*[F.sum(c).alias(c) for c in ("docs", "a", "b", "c", "e")])
+    n = F.sum("docs")
+    out = per.agg(n.alias("n_docs"), F.sum("e").alias("n_empty"), (F.sum("a") / n).alias("avg_tokens"), (F.sum("b") / n).alias("avg_tokens_no_stop"), (F.sum("c") / n).alias("avg_stemmed"), F.count_if(F.col("kind") == "u").alias("unique_unigrams"), F.count_if(F.col("kind") == "b").alias("unique_bigrams"))
+    return out.withColumns({"exported_unigrams": F.least(F.lit(k).cast("long"), "unique_unigrams"), "exported_bigrams": F.least(F.lit(k).cast("long"), "unique_bigrams")})
 
 
 def embedding_average(df: DataFrame, vectors: DataFrame, dim: int, key: str = "doc_id", tokens: str = "tokens") -> DataFrame:
