@@ -110,7 +110,8 @@ def mixed(docs: DataFrame, entropy: float | None = 0.95, max_epochs: float | Non
         joined = placed.withColumn("__salt", F.pmod("__o2", F.lit(64))).join(plan.withColumn("__salt", salts), ["__src", "__salt"], "left").drop("__salt")
     part = F.col("cut").isNull() | (F.col("__o") < F.col("cut")) | ((F.col("__o") == F.col("cut")) & (F.col("cut2").isNull() | (F.col("__o2") < F.col("cut2"))))
     copies = F.coalesce("whole", F.lit(int(cover))) + F.when(F.col("epochs").isNotNull() & (F.col("epochs") > F.col("whole")) & part, 1).otherwise(0)
-    return joined.select(*docs.columns, F.col("__n").alias("n_tokens"), "weight", "epochs", copies.cast("int").alias("copies"))
+    new = {"n_tokens", "weight", "epochs", "copies"}  # take the place of input columns of these names
+    return joined.select(*[c for c in docs.columns if c not in new], F.col("__n").alias("n_tokens"), "weight", "epochs", copies.cast("int").alias("copies"))
 
 
 def realised(docs: DataFrame, **how) -> DataFrame:

@@ -246,7 +246,7 @@ def near_links(signed: DataFrame, texts: DataFrame, least: float = THRESHOLD) ->
 def near_classes(docs: DataFrame, least: float = THRESHOLD) -> DataFrame:
     """doc_id, row_id, th, class_id, n_links, kept of each row of docs(doc_id, text)."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 2)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = written(rows.withColumns({"row_id": F.monotonically_increasing_id(), "th": F.xxhash64("text")}).mapInArrow(_sign, "doc_id long, row_id long, th long, node binary, bands array<long>"))
     links = written(near_links(signed, rows, least))

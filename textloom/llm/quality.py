@@ -108,3 +108,18 @@ def quality_filter(docs: DataFrame, rules=None) -> DataFrame:
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_STOPS = ", ".join(f"'{f(w)}'" for w in STOP_WORDS for f in (str, str.capitalize))
+SQL_OP9 = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '{WORD}') AS w, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '{WORD}')) AS l FROM d),
+s AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5)),
+r AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM s), range(0, 5) AS x(j) WHERE c > 1 GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words,
+  len(l) AS n_lines, len(regexp_extract_all(t, '[!{{}}\^~=]')) AS n_marks, len(list_distinct(list_filter(w, lambda x: list_contains([{_STOPS}], x)))) AS n_stop FROM w LEFT JOIN r USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, greatest(n_words, 1) AS n FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND word_chars / n BETWEEN 2.0 AND 12.0 AND n_symbols / n <= 0.15 AND n_marks / n <= 0.5 AND n_dup_lines / greatest(n_lines, 1) <= 0.45
+  AND (n_words < 50 OR n_stop >= 1) AND (n_words < 80 OR n_stop >= 2) AS kept FROM b
+"""

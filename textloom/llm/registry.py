@@ -19,4 +19,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op6_exact_dedup": exact_dedup.SQL_OP6,
     "op7_url_filter": url_filter.SQL_OP7,
+    "op2_substring_dedup": substring_dedup.SQL_OP2,
+    "op9_quality_rules": quality.SQL_OP9,
 }

@@ -313,3 +313,16 @@ def substring_dedup(docs: DataFrame, with_text: bool = False, max_filter_bits: i
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+SQL_OP2 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w WHERE len(w) >= 13)),
+f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS first FROM s),
+lost AS (SELECT DISTINCT doc_id, i + j AS p FROM f, range(0, 13) AS t(j) WHERE first < doc_id),
+tok AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM w),
+kept AS (SELECT doc_id, string_agg(t, ' ' ORDER BY p) AS text FROM tok ANTI JOIN lost USING (doc_id, p) GROUP BY doc_id),
+gone AS (SELECT doc_id, count(*) AS n FROM lost GROUP BY doc_id)
+SELECT w.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)
+"""
