@@ -195,3 +195,30 @@ def test_labelling(spark):
     assert cache.count() == 3  # failures aren't cached
     again, more = labeling.label_texts(df.where("doc_id = 1"), lambda p: 1 / 0, "p", "m", cache=cache)
     assert again.first().final_label == "positive" and more.count() == 0
+
+
+def test_runs_and_columns(spark, tmp_path):
+    import datetime
+
+    from textloom.config import Config
+
+    at = f"file://{tmp_path}/runs"
+    for day in (1, 2):
+        run = io.run_id(datetime.datetime(2024, 1, day))
+        io.write_run({"d": spark.createDataFrame([(day,)], "id long")}, run, at)
+    assert [r.id for r in io.read_latest_run(spark, at, "d").collect()] == [2]
+    df = spark.createDataFrame([(1, "a", "b")], "id long, text string, v1_basic_text string")
+    assert io.preferred_first(df, ["text", "none"]).columns == ["text", "id", "v1_basic_text"]
+    assert io.text_column(df) == "text" and io.text_column(df, "v1") == io.text_column(df, "v1_basic") == "v1_basic_text"
+    with pytest.raises(ValueError):
+        io.text_column(df, "v3")
+    c = Config.from_env(env={"TEXTLOOM_TOP_K": "5", "TEXTLOOM_STRICT": "true", "TEXTLOOM_SUBREDDITS": "a, b"})
+    assert (c.top_k, c.strict, c.subreddits, c.seed) == (5, True, ("a", "b"), 42) and c.missing(["KEY"], {}) == ["KEY"]
+
+
+def test_enrich_joins_the_terms_news(spark):
+    posts = spark.createDataFrame([("t", 1, "p", " Title t ", None, "3", "x", "0")], "term string, trend_rank long, post_id string, title string, selftext string, score string, num_comments string, created_utc string")
+    news = spark.createDataFrame([("t", 2, "second"), ("t", 1, "first")], "term string, article_rank long, title string")
+    r = collect.enrich(posts, news).first()
+    assert (r.title, r.selftext, r.engagement, r.news_count_for_term, r.related_news_titles) == ("Title t", "", 3, 2, ["first", "second"])
+    assert r.term_in_title and not r.has_selftext and r.created_datetime_utc == "1970-01-01T00:00:00+00:00"

@@ -243,6 +243,11 @@ def _(spark, sf):
     return corpus.top_terms(v(spark, sf, "v3_stem")).select("doc_id", F.col("rank").cast("long").alias("rank"), "token", F.round("tfidf", 6).alias("tfidf"))
 
 
+@query("rendered_top_terms", f"{TF}, r AS (SELECT doc_id, token, tfidf, row_number() OVER (PARTITION BY doc_id ORDER BY round(tfidf, 12) DESC, token) AS rank FROM w), g AS (SELECT doc_id, string_agg(token || ':' || printf('%.4f', tfidf), ' | ' ORDER BY rank) AS t FROM r WHERE rank <= 10 GROUP BY doc_id) SELECT doc_id, coalesce(t, '') AS top_terms FROM documents LEFT JOIN g USING (doc_id)")
+def _(spark, sf):
+    return corpus.rendered_top_terms(v(spark, sf, "v3_stem"))
+
+
 @query("corpus_summary", f"""WITH {PREP}, u AS (SELECT count(DISTINCT t) AS unique_unigrams FROM (SELECT unnest(stemmed) AS t FROM p)),
 b AS (SELECT count(DISTINCT g) AS unique_bigrams FROM (SELECT unnest(list_transform(range(1, len(stemmed)), lambda i: stemmed[i] || ' ' || stemmed[i + 1])) AS g FROM p))
 SELECT count(*) AS n_docs, count(*) FILTER (len(stemmed) = 0) AS n_empty, round(avg(len(tokens)), 6) AS avg_tokens, round(avg(len(kept)), 6) AS avg_tokens_no_stop, round(avg(len(stemmed)), 6) AS avg_stemmed,
@@ -641,6 +646,22 @@ def _(spark, sf):
     return serve.low_confidence(every).select("doc_id", "label", "pred_label", "confidence", "is_correct", "low_confidence")
 
 
+@query("predict_stream")
+def _(spark, sf):
+    """The stream's result equals the batch's; it is written to the session's shared folder."""
+    import tempfile
+    import uuid
+
+    from textloom.streaming import stream
+
+    model = models.fit_logistic(training(spark, sf))
+    root = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="textloom-")) + f"/stream-{uuid.uuid4().hex}"
+    d = docs(spark, sf)
+    arriving = spark.readStream.schema(table(spark, sf, "documents").schema).parquet(f"{sf}/documents.parque[t]").select("doc_id", "text")
+    stream.run_available(arriving, f"{root}/out", f"{root}/checkpoint", lambda s: stream.score_stream(s, model))
+    return spark.read.parquet(f"{root}/out").select(*d.columns, "pred_label", "confidence").drop("text")
+
+
 @query("benchmark_18")
 def _(spark, sf):
     from textloom.plans.pipelines import benchmark

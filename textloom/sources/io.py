@@ -138,3 +138,39 @@ def run_totals(stats: dict[str, dict[str, int]]) -> int:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(align, frames)
+
+
+def run_id(now) -> str:
+    """A run id such as 20240131T235959Z from a UTC datetime."""
+    return now.strftime("%Y%m%dT%H%M%SZ")
+
+
+def write_run(datasets: dict[str, DataFrame], run: str, path: str) -> None:
+    """One Parquet table a dataset, partitioned by run_id; readers prune to the runs they ask for."""
+    for name, df in datasets.items():
+        df.withColumn("run_id", F.lit(run)).write.mode("append").partitionBy("run_id").parquet(f"{path}/{name}")
+
+
+def read_latest_run(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The rows of the last run of a dataset."""
+    runs = [n.split("=", 1)[1] for n in list_dir(spark, f"{path}/{name}") if n.startswith("run_id=")]
+    df = spark.read.parquet(f"{path}/{name}")
+    return df.where(F.col("run_id") == max(runs)) if runs else df
+
+
+def preferred_first(df: DataFrame, preferred: list[str]) -> DataFrame:
+    """Preferred columns first, where present, the others after in their order."""
+    first = [c for c in preferred if c in df.columns]
+    return df.select(*first, *[c for c in df.columns if c not in first])
+
+
+def text_column(df: DataFrame, choice: str | None = None) -> str:
+    """The column of a text variant (v1, v2, v3) or a literal name; without a choice
+    processed_text where there is one, else text."""
+    if choice is None:
+        return "processed_text" if "processed_text" in df.columns else "text"
+    name = {"v1": "v1_basic_text", "v2": "v2_no_stop_text", "v3": "v3_stem_text"}.get(choice, choice)
+    for c in (name, f"{name}_text"):
+        if c in df.columns:
+            return c
+    raise ValueError(f"no text column for {choice!r}")
