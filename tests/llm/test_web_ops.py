@@ -84,6 +84,11 @@ def test_shared_lines_are_a_longest_common_subsequence(a, b):
     assert all(any(a[i] == y for y in it) for i in got)
 
 
+@pytest.mark.parametrize("mark", ['class="cookieBanner"', 'id="sideBar"', 'class="x ad-slot"', 'role="navigation"', "hidden", 'style="display: none"', 'id="disqus_thread"', 'class=comments'])
+def test_marks_of_what_is_not_the_article(mark):
+    assert html_text.lines(f"<main><p>in</p><div {mark}><p>out<b>bold</b></div><p>more</main>") == [("in", 2), ("outbold", 0), ("more", 2)]
+
+
 def test_broken_markup_is_linear():
     assert html_text.lines("<p " * 20000) is not None
     assert html_text.lines("<div>" * 5000 + "x") == [("x", 1)]

@@ -33,6 +33,7 @@ from textloom.llm.url_filter import host_of, path_of
 
 TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)", re.S)
 ATTR = re.compile(r"([A-Za-z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+CAMEL = re.compile(r"([a-z])([A-Z])")
 RAW = {"script", "style", "title", "textarea", "iframe", "noscript", "template", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCK = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
@@ -41,6 +42,7 @@ OUT_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "selec
 OUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "form", "alertdialog", "toolbar"}
 #: Words of class and id names that mark what is not the article.
 OUT_NAMES = set("nav navbar navigation menu submenu header masthead topbar footer sidebar aside widget widgets ad ads adv advert adverts advertisement advertising adbox sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay comment comments commentlist disqus respond reply replies share sharing social follow related recommended breadcrumb breadcrumbs pagination pager newsletter subscribe subscription signup login signin search form skip toolbar copyright legal disclaimer tagcloud tags hidden".split())
+OUT_STARTS = ("cookie", "advert", "sponsor", "sidebar", "navbar", "newsletter", "breadcrumb")
 IN_NAMES = {"article", "articlebody", "post", "entry", "story", "content", "main"}
 COPY = 0.8
 
@@ -112,13 +114,14 @@ def lines(html: str | None) -> list[tuple[str, int]]:
             continue
         a = _attributes(m[3])
         _, gone, standing = stack[-1] if stack else ("", False, 1)
-        names = set(re.split(r"[^a-z0-9]+", (a.get("class", "") + " " + a.get("id", "")).lower()))
+        marks = a.get("class", "") + " " + a.get("id", "")
+        names = set(re.split(r"[^a-z0-9]+", f"{marks} {CAMEL.sub(r'\1 \2', marks)}".lower()))
         mine = tag in OUT_TAGS or (tag == "header" and standing < 3) or a.get("role", "").lower() in OUT_ROLES or "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
         if tag not in ("html", "body", "main"):
-            mine = mine or bool(names & OUT_NAMES)
+            mine = mine or bool(names & OUT_NAMES) or any(x.startswith(OUT_STARTS) for x in names)
         if tag == "article" or a.get("itemprop") == "articleBody":
             standing = 3
-        elif tag == "main" or a.get("role") == "main" or tag in ("div", "section") and names & IN_NAMES:
+        elif tag == "main" or a.get("role") == "main" or tag in ("div", "section", "td") and names & IN_NAMES:
             standing = max(standing, 2)
         if mine and not gone and tag not in BLOCK:
             end()
