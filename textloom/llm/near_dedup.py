@@ -153,7 +153,8 @@ def _keys(mode: str, bits: int, filt=None):
                 continue
             m = bloom.maybe_twice(filt.value, flat, bits)
             parent = np.repeat(np.arange(len(col)), np.diff(col.offsets.to_numpy()))[m]
-            yield pa.RecordBatch.from_arrays([pa.array(flat[m].view(np.int64)), b.column("node").take(pa.array(parent))], ["band", "node"])
+            weight = np.bincount(parent, minlength=len(col))[parent]
+            yield pa.RecordBatch.from_arrays([pa.array(flat[m].view(np.int64)), b.column("node").take(pa.array(parent)), pa.array(weight)], ["band", "node", "weight"])
 
     return run
 
@@ -192,31 +193,32 @@ def _verify(least: float):
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for links(a, b): the smallest node of each connected component."""
-    edges = written(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+    edges = written(links.select("a", "b").union(links.select("b", "a")).union(links.select("a", F.col("a").alias("b"))).union(links.select("b", F.col("b").alias("a"))).distinct())
+    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")))
     while True:
-        near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        own = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
+        near = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("mid"), F.max(F.when(F.col("a") == F.col("b"), F.col("label"))).alias("old"))
         jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
-        new = written(own.join(jump, "mid", "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("label")))
+        new = written(near.join(jump, "mid", "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("label")))
         labels = new.select("node", "label")
         if new.where("label <> old").isEmpty():
             return labels
 
 
-def candidate_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs (a, b), crowded nodes) of rows(band, node, n)."""
-    order = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+def crowded(rows: DataFrame) -> DataFrame:
+    """rows(band, node, weight) of bands with two nodes or more, with the band's size n and its
+    pivots: of the nodes in each of PIVOTS hash classes the one with most shared bands."""
+    kind = F.pmod(F.xxhash64("node"), F.lit(PIVOTS))
+    tops = {f"p{i}": F.max(F.when(kind == i, F.struct("weight", "node"))) for i in range(PIVOTS)}
+    out = attach(rows, ["band"], {"n": F.count("*"), **tops}, {"n": F.sum("n"), **{k: F.max(k).alias(k) for k in tops}}, "node").where("n > 1")
+    return written(out.select("band", "node", "n", F.filter(F.array(*[F.col(f"{k}.node") for k in tops]), lambda p: p.isNotNull()).alias("pivots")))
+
+
+def candidate_pairs(rows: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of crowded rows: all in small bands, with the pivots in larger ones."""
     small = rows.where(F.col("n") <= SMALL)
     pairs = small.select("band", F.col("node").alias("a")).join(small.select("band", F.col("node").alias("b")), "band").where("a < b").select("a", "b")
-    weight = rows.groupBy("node").agg(F.sum("n").alias("weight"))
-    left = crowded = written(rows.where(F.col("n") > SMALL).select("band", "node").join(weight, "node"))
-    for _ in range(PIVOTS):
-        led = attach(left, ["band"], {"lead": F.max(F.struct("weight", "node"))}, {"lead": F.max("lead")}, "node").withColumn("lead", F.col("lead.node"))
-        left = written(led.where("node <> lead"))
-        pairs = pairs.union(left.select(*order(F.col("node"), F.col("lead"))))
-        left = left.select("band", "node", "weight")
-    return pairs.distinct(), crowded.select("node").distinct()
+    star = rows.where(F.col("n") > SMALL).select("node", F.explode("pivots").alias("pivot")).where("node <> pivot")
+    return pairs.union(star.select(F.least("node", "pivot"), F.greatest("node", "pivot"))).distinct()
 
 
 def near_links(signed: DataFrame, texts: DataFrame, least: float = THRESHOLD) -> DataFrame:
@@ -225,22 +227,20 @@ def near_links(signed: DataFrame, texts: DataFrame, least: float = THRESHOLD) ->
     n = nodes.count()
     bits = bloom.filter_bits(n * (REGISTERS // BAND), 8, 28)
     filt = bloom.twice_filter(nodes.mapInArrow(_keys("hit", bits), bloom.HITS), bits)
-    rows = nodes.mapInArrow(_keys("rows", bits, filt), "band long, node binary")
-    count = lambda r: written(attach(r, ["band"], {"n": F.count("*")}, {"n": F.sum("n")}, "node").where("n > 1"))
-    rows = count(rows)
+    rows = crowded(nodes.mapInArrow(_keys("rows", bits, filt), "band long, node binary, weight long"))
     wanted = bloom.twice_filter(rows.select("node").mapInArrow(_wanted(bits), bloom.HITS), bits)
     bodies = written(texts.select("text").mapInArrow(_bodies(bits, wanted), "node binary, body binary").groupBy("node").agg(F.first("body").alias("body")))
     xs, ys = bodies.select(F.col("node").alias("a"), F.col("body").alias("x")), bodies.select(F.col("node").alias("b"), F.col("body").alias("y"))
     verified = lambda p: written(p.join(xs, "a").join(ys, "b").mapInArrow(_verify(least), "a binary, b binary, ok boolean").where("ok").select("a", "b"))
 
-    pairs, crowded = candidate_pairs(rows)
-    links = verified(pairs)
+    links = verified(candidate_pairs(rows))
     linked = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node")))
     # Two nodes that share a pair of bands share both, so a node's bands of one node play no part.
-    loose = crowded.join(linked.distinct(), "node", "left_anti").join(rows, "node").groupBy("node").agg(F.array_sort(F.collect_set("band")).alias("bands")).where("size(bands) > 1")
+    bands = rows.groupBy("node").agg(F.array_sort(F.collect_set("band")).alias("bands"), F.max("n").alias("n")).where(f"n > {SMALL} and size(bands) > 1")
+    loose = bands.join(linked, "node", "left_anti")
     two = F.flatten(F.transform(F.sequence(F.lit(0), F.size("bands") - 2), lambda i: F.transform(F.sequence(i + 1, F.size("bands") - 1), lambda j: F.xxhash64(F.get("bands", i), F.get("bands", j)))))
-    finer, _ = candidate_pairs(count(loose.select("node", F.explode(two).alias("band"))))
-    return links.union(verified(finer))
+    finer = loose.select("node", F.size("bands").cast("long").alias("weight"), F.explode(two).alias("band"))
+    return links.union(verified(candidate_pairs(crowded(finer))))
 
 
 def near_classes(docs: DataFrame, least: float = THRESHOLD) -> DataFrame:
@@ -250,12 +250,12 @@ def near_classes(docs: DataFrame, least: float = THRESHOLD) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = written(rows.withColumns({"row_id": F.monotonically_increasing_id(), "th": F.xxhash64("text")}).mapInArrow(_sign, "doc_id long, row_id long, th long, node binary, bands array<long>"))
     links = written(near_links(signed, rows, least))
-    labels = components(links)
-    degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
     first = signed.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")).alias("first"))
-    nodes = first.join(labels, "node", "left").join(degree, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    classes = attach(nodes, ["label"], {"head": F.min("first")}, {"head": F.min("head")}, "node").select("node", "head", "n_links")
-    classes = written(classes)
+    first = written(first)
+    degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
+    linked = first.join(components(links), "node").join(degree, "node")
+    heads = attach(linked, ["label"], {"head": F.min("first")}, {"head": F.min("head")}, "node").select("node", "head", "n_links")
+    classes = written(first.join(heads, "node", "left").select("node", F.coalesce("head", "first").alias("head"), "n_links"))
     out = signed.join(classes, "node", "left")
     return out.select("doc_id", "row_id", "th", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("node").isNull() | (F.col("row_id") == F.col("head.row_id"))).alias("kept"))
 
