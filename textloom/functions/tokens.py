@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from textloom.functions.clean import basic_clean, drop_boilerplate_sentences, full_clean
+from textloom.functions.clean import basic_clean, full_clean
 
 # Token pattern, word lists, suffixes and the analysis limit.
 TOKEN = r"[a-z0-9]+(?:'[a-z0-9]+)?"
@@ -65,7 +65,7 @@ def truncated(tokens: Column, n: int = MAX_TOKENS) -> Column:
 def analysis_tokens(c: Column, normalise: bool = True) -> dict[str, Column]:
     """The layers of full preprocessing, for select() in two steps: the clean text,
     then columns over it (named clean_text)."""
-    clean = drop_boilerplate_sentences(full_clean(c, normalise))
+    clean = full_clean(c, normalise)  # no sentence ends are left, so dropping boilerplate sentences changes nothing here
     tokens = tokenize(F.col("clean_text"))
     kept = keep_tokens(tokens, STOP_WORDS + CONTRACTION_ENDS + NOISE)
     return {"clean_text": clean, "tokens": tokens, "tokens_no_stop": kept}
