@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -92,6 +94,6 @@ def corpus_summary(df: DataFrame, k: int = 200, tokens: str = "tokens", kept: st
 def embedding_average(df: DataFrame, vectors: DataFrame, dim: int, key: str = "doc_id", tokens: str = "tokens") -> DataFrame:
     """(key, vec): mean vector of a document's tokens with multiplicity; zeros where none is known."""
     hits = term_freq(df, key, tokens).join(vectors.select(F.col("word").alias("token"), "vec"), "token")
-    parts = hits.select(key, "tf", F.posexplode("vec").alias("i", "x")).groupBy(key, "i").agg((F.sum(F.col("x") * F.col("tf")) / F.sum("tf")).alias("m"))
-    vec = parts.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("vec"))
+    mean = Summarizer.mean(F.col("v"), F.col("tf").cast("double"))  # whole vectors are summed, no row a dimension
+    vec = hits.withColumn("v", array_to_vector("vec")).groupBy(key).agg(mean.alias("m")).select(key, vector_to_array("m").alias("vec"))
     return df.select(key).join(vec, key, "left").select(key, F.coalesce("vec", F.array_repeat(F.lit(0.0), dim)).alias("vec"))
