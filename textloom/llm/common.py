@@ -65,3 +65,10 @@ def attach(rows: DataFrame, keys: list[str], partial: dict[str, Column], final:
     whole = part.groupBy(*keys).agg(*[c.alias(k) for k, c in final.items()])
     by_salt = part.select(*keys, "__salt").join(whole, keys)
     return salted.join(by_salt, [*keys, "__salt"]).drop("__salt")
+
+
+def clear_written(spark: SparkSession) -> None:
+    """Deletes the tables that ``written`` left in the shared folder; results that
+    are still to be read depend on them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/textloom")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

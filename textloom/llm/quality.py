@@ -93,20 +93,19 @@ def compiled(rules=None) -> Column:
 
 
 def judged(docs: DataFrame, rules=None) -> DataFrame:
-    """docs with the measures, base_failed and kept."""
+    """docs with the measures, base_failed and kept.  The verdict refers to a function that
+    is not deterministic, so that a filter on it stays above the projection: pushed below,
+    it would put the word array's whole expression where the lambdas refer to the array."""
     first, second = measures(F.col("text"))
     out = docs.withColumns(first).withColumns(second)
     out = out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    return out.withColumn("kept", ~F.col("base_failed") & compiled(rules)).drop("__t", "__words", "__lines")
+    return out.withColumn("kept", ~F.col("base_failed") & compiled(rules) & (F.monotonically_increasing_id() >= 0)).drop("__t", "__words", "__lines")
 
 
 def quality_filter(docs: DataFrame, rules=None) -> DataFrame:
-    """The rows of docs that the rules keep, with the columns of docs.  The filter reads a
-    column that is not deterministic: else Spark would push it below the projection and
-    put the word array's whole expression where the lambdas refer to the array."""
+    """The rows of docs that the rules keep, with the columns of docs."""
     tagged = docs.select(F.struct("*").alias("__row"), F.col("text"))
-    once = judged(tagged, rules).withColumn("__at", F.monotonically_increasing_id())
-    return once.where("kept and __at >= 0").select("__row.*")
+    return judged(tagged, rules).where("kept").select("__row.*")
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
