@@ -125,6 +125,32 @@ def test_large_group_of_near_copies(spark):
     assert {r.class_id for r in near_dedup.near_classes(df).collect()} == {0}
 
 
+def passage_docs(docs, passage, own, groups, copies):
+    """Documents that share a passage, with groups of near copies among them that differ in ten words."""
+    rng = np.random.default_rng(7)
+    w = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    common, texts = w(passage), []
+    for g in range(docs):
+        mine = w(own)
+        texts.append(common + mine)
+        texts += [common + mine[: -10] + w(10) for _ in range(copies if g < groups else 0)]
+    return [(int(i), " ".join(x)) for i, x in zip(rng.permutation(len(texts)), texts)]
+
+
+def classes_of(spark, rows):
+    got = defaultdict(set)
+    for r in near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.class_id].add(r.doc_id)
+    return sorted(map(sorted, got.values()))
+
+
+def test_near_copies_that_share_a_passage_with_many(spark):
+    rows = passage_docs(1000, 160, 27, 60, 1)  # unrelated documents are 0.74 alike, planted pairs 0.9
+    want = sorted(map(sorted, exact_classes(rows).values()))
+    assert sum(len(c) == 2 for c in want) == 60
+    assert classes_of(spark, rows) == want
+
+
 def test_quality(docs, rows, empty):
     got = quality.judged(docs.select("doc_id", "text"))
     want = Counter()

@@ -13,10 +13,9 @@ agreement of registers is an unbiased estimate of weighted Jaccard similarity.
 3. In small bands (at most ``SMALL`` nodes) nodes pair up.  In larger ones each
    node pairs with the band's ``PIVOTS`` most connected nodes, which in a group of
    near copies are the text they were made from and its closest copies.  Nodes that
-   no pivot confirms go on to finer bands, all pairs of two of their band keys, in
-   which a passage that many different documents share no longer holds them
-   together; a pair at 0.8 shares one with probability 0.997.  The pairs are
-   linear in the nodes: no group is paired with itself.
+   no pivot confirms are paired by prefixes: ordered from rare to frequent, two
+   texts that are alike share one of their first elements, so that a passage of many
+   different documents pairs nobody and no pair is missed.
 4. Each distinct pair is verified by the exact multiset overlap.
 5. Classes are connected components, by label propagation with pointer jumping
    on tables in the shared folder.
@@ -35,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import bloom
-from textloom.llm.common import attach, small_batches, table, written
+from textloom.llm.common import attach, shuffle_partitions, small_batches, table, written
 from textloom.llm.substring_dedup import U, _parse, mix
 
 SHINGLE = 5
@@ -182,6 +181,50 @@ def _bodies(bits: int, filt):
     return run
 
 
+def _slots(bits: int):
+    def run(batches):
+        for b in batches:
+            slot = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in b.column("body").to_pylist()] or [np.empty(0, np.uint32)]) >> np.uint32(32 - bits))
+            parts = np.split(slot, np.flatnonzero(np.diff(slot >> np.uint32(bloom.CHUNK_BITS))) + 1) if len(slot) else []
+            yield pa.RecordBatch.from_arrays([pa.array([int(p[0] >> np.uint32(bloom.CHUNK_BITS)) for p in parts], pa.int64()), pa.array([(p & np.uint32(0xFFFF)).astype("<u2").tobytes() for p in parts], pa.binary())], ["chunk", "hit"])
+
+    return run
+
+
+def _ranks(batches):
+    counts: dict[int, np.ndarray] = {}
+    for b in batches:
+        for c, hit in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            seen = counts.setdefault(c, np.zeros(1 << bloom.CHUNK_BITS, np.int64))
+            seen += np.bincount(np.frombuffer(hit, "<u2"), minlength=len(seen))
+    for c, seen in counts.items():
+        ranks = np.where(seen == 0, 0, np.minimum(255, 1 + 7 * np.log2(np.maximum(seen, 1)))).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([ranks.tobytes()], pa.binary())], ["chunk", "ranks"])
+
+
+def _prefixes(least: float, ranks, bits: int):
+    """Each text's elements that may be the first common one of a pair, with the elements left from
+    there on; short ones may be it in a pair with a text of the same size or a larger one.
+    Elements that occur once are left out."""
+
+    def run(batches):
+        rank = np.frombuffer(ranks.value, np.uint8)
+        for b in batches:
+            out = [[], [], [], []]
+            for i, x in enumerate(b.column("body").to_pylist()):
+                e = np.frombuffer(x, np.uint32)
+                r = rank[e >> np.uint32(32 - bits)]
+                order = np.lexsort((e, r))[: int((1 - least) * len(e) + 1e-6) + 1]
+                at = np.flatnonzero(r[order] > 1)
+                for o, v in zip(out, (e[order[at]].astype(np.int64), np.full(len(at), i), np.full(len(at), len(e)), len(e) - at)):
+                    o.append(v)
+            token, i, size, left = (np.concatenate(o) if o else np.empty(0, np.int64) for o in out)
+            short = left >= size * (2 * least / (1 + least)) - 1e-6
+            yield pa.RecordBatch.from_arrays([pa.array(token), b.column("node").take(pa.array(i)), pa.array(size), pa.array(left), pa.array(short)], ["token", "node", "size", "left", "short"])
+
+    return run
+
+
 def _verify(least: float):
     def run(batches):
         for b in batches:
@@ -221,6 +264,36 @@ def candidate_pairs(rows: DataFrame) -> DataFrame:
     return pairs.union(star.select(F.least("node", "pivot"), F.greatest("node", "pivot"))).distinct()
 
 
+def rarity(bodies: DataFrame):
+    """A broadcast of one byte for each of 2 ** bits element slots, a rank of how often the
+    slot occurs (0 never, 1 once), and bits: at most 64 MB, whatever the rows."""
+    spark = bodies.sparkSession
+    size = bodies.agg(F.sum(F.length("body"))).first()[0] or 0
+    bits = bloom.filter_bits(size // 4, 4, 26)
+    parts = min(shuffle_partitions(spark), 1 << (bits - bloom.CHUNK_BITS))
+    merged = bodies.select("body").mapInArrow(_slots(bits), bloom.HITS).repartition(parts, "chunk").mapInArrow(_ranks, "chunk long, ranks binary")
+    ranks = bytearray(1 << bits)
+    for r in merged.toLocalIterator():
+        at = r.chunk << bloom.CHUNK_BITS
+        ranks[at : at + len(r.ranks)] = r.ranks
+    return spark.sparkContext.broadcast(bytes(ranks)), bits
+
+
+def prefix_pairs(bodies: DataFrame, least: float) -> DataFrame:
+    """Distinct pairs (a, b) of bodies(node, body) that may be alike, without a miss: with elements
+    from rare to frequent, two texts of x and y elements that share least / (1 + least) * (x + y)
+    have their first common element while at least as many are left in both."""
+    bodies = written(bodies)
+    ranks, bits = rarity(bodies)
+    rows = bodies.mapInArrow(_prefixes(least, ranks, bits), "token long, node binary, size long, left long, short boolean")
+    rows = written(attach(rows, ["token"], {"n": F.count("*")}, {"n": F.sum("n")}, "node").where("n > 1").drop("n"))
+    side = lambda s: rows.select("token", *[F.col(c).alias(c + s) for c in ("node", "size", "left", "short")])
+    need = (F.col("size1") + F.col("size2")) * (least / (1 + least)) - 1e-6
+    may = (F.col("node1") != F.col("node2")) & (F.col("size1") <= F.col("size2")) & (F.col("left1") >= need) & (F.col("left2") >= need)
+    pairs = side("1").where("short1").join(side("2"), "token").where(may)
+    return pairs.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
+
+
 def near_links(signed: DataFrame, texts: DataFrame, least: float = THRESHOLD) -> DataFrame:
     """Verified links (a, b) between the distinct texts of signed(node, bands)."""
     nodes = written(signed.where("node is not null").groupBy("node").agg(F.first("bands").alias("bands")))
@@ -235,12 +308,8 @@ def near_links(signed: DataFrame, texts: DataFrame, least: float = THRESHOLD) ->
 
     links = verified(candidate_pairs(rows))
     linked = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node")))
-    # Two nodes that share a pair of bands share both, so a node's bands of one node play no part.
-    bands = rows.groupBy("node").agg(F.array_sort(F.collect_set("band")).alias("bands"), F.max("n").alias("n")).where(f"n > {SMALL} and size(bands) > 1")
-    loose = bands.join(linked, "node", "left_anti")
-    two = F.flatten(F.transform(F.sequence(F.lit(0), F.size("bands") - 2), lambda i: F.transform(F.sequence(i + 1, F.size("bands") - 1), lambda j: F.xxhash64(F.get("bands", i), F.get("bands", j)))))
-    finer = loose.select("node", F.size("bands").cast("long").alias("weight"), F.explode(two).alias("band"))
-    return links.union(verified(candidate_pairs(crowded(finer))))
+    crowd = rows.where(F.col("n") > SMALL).select("node").distinct().join(linked, "node", "left_anti")
+    return links.union(verified(prefix_pairs(bodies.join(crowd, "node"), least)))
 
 
 def near_classes(docs: DataFrame, least: float = THRESHOLD) -> DataFrame:
