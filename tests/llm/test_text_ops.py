@@ -151,6 +151,19 @@ def test_near_copies_that_share_a_passage_with_many(spark):
     assert classes_of(spark, rows) == want
 
 
+def test_groups_of_near_copies_and_links_between_groups(spark):
+    rng = np.random.default_rng(8)
+    w = lambda n: [f"v{x}" for x in rng.integers(0, 10**9, n)]
+    rows = passage_docs(300, 160, 27, 60, 2)
+    for _ in range(4):  # two hubs with near copies, 0.74 alike, and texts between the hubs that are 0.85 alike with both
+        base, x, y = w(200), w(30), w(30)
+        texts = [base[:-15] + base[:15] + own for own in (x, y)]
+        texts += [t[:k] + ["copy"] + t[k + 1 :] for t in texts for k in range(5, 180, 9)]
+        texts += [base + x[:15] + y[:15], base[:-15] + x[15:] + base[:15] + y[:15]]
+        rows += [(len(rows) + i, " ".join(t)) for i, t in enumerate(texts)]
+    assert classes_of(spark, rows) == sorted(map(sorted, exact_classes(rows).values()))
+
+
 def test_quality(docs, rows, empty):
     got = quality.judged(docs.select("doc_id", "text"))
     want = Counter()

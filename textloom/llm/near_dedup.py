@@ -12,10 +12,11 @@ agreement of registers is an unbiased estimate of weighted Jaccard similarity.
    probability 0.9998.  A counting Bloom filter drops band keys that occur once.
 3. In small bands (at most ``SMALL`` nodes) nodes pair up.  In larger ones each
    node pairs with the band's ``PIVOTS`` most connected nodes, which in a group of
-   near copies are the text they were made from and its closest copies.  Nodes that
-   no pivot confirms are paired by prefixes: ordered from rare to frequent, two
-   texts that are alike share one of their first elements, so that a passage of many
-   different documents pairs nobody and no pair is missed.
+   near copies are the text they were made from and its closest copies.  Nodes of
+   large bands that are not in one class by these links are then paired by prefixes:
+   ordered from rare to frequent, two texts that are alike share one of their first
+   elements, so that a passage of many different documents pairs nobody and no
+   pair of two classes is missed.  No class is paired with itself.
 4. Each distinct pair is verified by the exact multiset overlap.
 5. Classes are connected components, by label propagation with pointer jumping
    on tables in the shared folder.
@@ -279,18 +280,23 @@ def rarity(bodies: DataFrame):
     return spark.sparkContext.broadcast(bytes(ranks)), bits
 
 
-def prefix_pairs(bodies: DataFrame, least: float) -> DataFrame:
-    """Distinct pairs (a, b) of bodies(node, body) that may be alike, without a miss: with elements
-    from rare to frequent, two texts of x and y elements that share least / (1 + least) * (x + y)
-    have their first common element while at least as many are left in both."""
+def prefix_pairs(bodies: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """Distinct pairs (a, b) of bodies(node, body) that may be alike and are of different classes by
+    labels(node, label), without a miss: with elements from rare to frequent, two texts of x and y
+    elements that share least / (1 + least) * (x + y) have their first common element while at
+    least as many are left in both.  A node without a label is a class of its own."""
     bodies = written(bodies)
     ranks, bits = rarity(bodies)
     rows = bodies.mapInArrow(_prefixes(least, ranks, bits), "token long, node binary, size long, left long, short boolean")
-    rows = written(attach(rows, ["token"], {"n": F.count("*")}, {"n": F.sum("n")}, "node").where("n > 1").drop("n"))
-    side = lambda s: rows.select("token", *[F.col(c).alias(c + s) for c in ("node", "size", "left", "short")])
+    rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rows = written(attach(rows, ["token"], {"low": F.min("label"), "high": F.max("label")}, {"low": F.min("low"), "high": F.max("high")}, "node").where("low <> high").drop("low", "high"))
+    # Classes meet first, so that the rows of a class are never paired with each other.
+    mine = rows.where("short").select("token", F.col("label").alias("label1")).distinct()
+    meet = mine.join(rows.select("token", F.col("label").alias("label2")).distinct(), "token").where("label1 <> label2")
+    side = lambda s: rows.select("token", *[F.col(c).alias(c + s) for c in ("label", "node", "size", "left", "short")])
     need = (F.col("size1") + F.col("size2")) * (least / (1 + least)) - 1e-6
-    may = (F.col("node1") != F.col("node2")) & (F.col("size1") <= F.col("size2")) & (F.col("left1") >= need) & (F.col("left2") >= need)
-    pairs = side("1").where("short1").join(side("2"), "token").where(may)
+    may = (F.col("size1") <= F.col("size2")) & (F.col("left1") >= need) & (F.col("left2") >= need)
+    pairs = meet.join(side("1").where("short1"), ["token", "label1"]).join(side("2"), ["token", "label2"]).where(may)
     return pairs.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
 
 
@@ -307,9 +313,8 @@ def near_links(signed: DataFrame, texts: DataFrame, least: float = THRESHOLD) ->
     verified = lambda p: written(p.join(xs, "a").join(ys, "b").mapInArrow(_verify(least), "a binary, b binary, ok boolean").where("ok").select("a", "b"))
 
     links = verified(candidate_pairs(rows))
-    linked = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node")))
-    crowd = rows.where(F.col("n") > SMALL).select("node").distinct().join(linked, "node", "left_anti")
-    return links.union(verified(prefix_pairs(bodies.join(crowd, "node"), least)))
+    crowd = rows.where(F.col("n") > SMALL).select("node").distinct()
+    return links.union(verified(prefix_pairs(bodies.join(crowd, "node"), components(links), least)))
 
 
 def near_classes(docs: DataFrame, least: float = THRESHOLD) -> DataFrame:
