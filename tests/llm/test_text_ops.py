@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -259,6 +260,16 @@ def test_em_finds_the_unreliable_labeler(spark):
     assert p["110"] > 0.9 and p["001"] < 0.1 and p["111"] > p["110"] - 0.02
 
 
+@pytest.mark.parametrize("width", [70, 75, 80])
+def test_wrapped_notices(width):
+    import pyarrow as pa
+
+    long = [(i, t) for i, t in licenses.TEMPLATES if len(t) > width]
+    texts = [f"{mark}Other text here\n\n" + "\n".join(mark + x for x in textwrap.wrap(t, width)) + f"\n{mark}and more words follow.\n\nEnd" for mark in ("", " * ") for _, t in long]
+    out = next(licenses._scan([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])])).to_pylist()
+    assert [r["licenses"] for r in out] == [i for i, _ in long] * 2
+
+
 def test_licenses(spark, empty):
     rows = [(1, "Text\nReleased under the MIT License.%%%\nmore"), (2, "Licensed under the Apache License, Version 2.0."), (3, "This work is licensed under the GNU General Public License, version 2."), (4, "A licence to kill"), (5, None), (6, ""), (7, "Licensed under CC BY-NC 4.0.\nReleased under the MIT License."), (8, "licensed under the apache license version 3.0"), (9, "No cue here")]
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

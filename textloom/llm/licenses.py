@@ -4,7 +4,8 @@ Blocks (neighbouring lines with a licence cue) are compressed with each template
 as zstandard raw dictionary; the template that shrinks a block most explains it
 best.  The leading templates are then confirmed by exact wording: words are
 aligned, and a template wins if nearly all its words are there in order and no
-word that tells licences apart (names, versions) differs.
+word that tells licences apart (names, versions) differs.  Wrapped notices are
+aligned within their paragraph; ``n_blocks`` counts blocks of cue lines.
 
 The cue test runs in the JVM, so only candidate documents reach Python; the
 scan is one map over the table, without a shuffle.
@@ -17,6 +18,7 @@ are ignored.
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import re
 
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from textloom.llm.common import small_batches, table
 
 CUE = r"(?i)licen[sc]|copyright|spdx-|permission is hereby|creative commons|\bCC BY\b|\bCC0\b|public domain|warrant(?:y|ies)|redistribution"
+#: The same with cues that a line break and comment marks may part.
+WRAPPED = CUE.replace(" ", r"[\s*#/;-]{1,40}")
 #: Wordings of common licence notices (fixed values), by SPDX identifier.
 TEMPLATES: list[tuple[str, str]] = [
     ("MIT", "Released under the MIT License."),
@@ -90,6 +94,12 @@ class Matcher:
             diff += ["+" + w for o in ops if o[0] in ("insert", "replace") and o[3] >= first and o[4] <= last for w in block[o[3] : o[4]]]
         return sum(o[2] - o[1] for o in same) / len(t), diff
 
+    def confirmed(self, own: list[str], i: int) -> list[str] | None:
+        """The words that differ, if own words are template i's wording."""
+        found, diff = self.wording(own, i)
+        plain = [w.lstrip("+") for w in diff]
+        return diff if found >= LEAST_WORDS and len(diff) <= 0.25 * len(self.words[i]) and not any(w in KEY or w[:1].isdigit() for w in plain) else None
+
     def match(self, block: str) -> tuple[str, float, list[str]] | None:
         """The confirmed licence of a block, the reduction, and the words that differ."""
         own = words(block)
@@ -97,13 +107,29 @@ class Matcher:
         for reduction, i in self.ranked(block):
             if best and i >= 0 and reduction < best[0] - 0.25:
                 break
-            found, diff = self.wording(own, i)
-            plain = [w.lstrip("+") for w in diff]
-            if found >= LEAST_WORDS and len(diff) <= 0.25 * len(self.words[i]) and not any(w in KEY or w[:1].isdigit() for w in plain):
+            if (diff := self.confirmed(own, i)) is not None:
                 if best is None or (len(self.words[i]), -len(diff)) > best[3]:
                     best = (reduction, self.templates[i][0], diff, (len(self.words[i]), -len(diff)))
         return best and (best[1], best[0], best[2])
 
+    def matches(self, paragraph: str) -> list[tuple[str, float, list[str]]]:
+        """All licences of a paragraph: each template is aligned around the longest run of its words;
+        the longest confirmed one is taken, and the text before and after it searched again."""
+        at = list(TOKENS.finditer(paragraph))
+        own, best = [m[0].lower() for m in at], None
+        for i, t in enumerate(self.words):
+            m = difflib.SequenceMatcher(None, t, own, autojunk=False).find_longest_match()
+            spare = len(t) // 4
+            low, high = max(0, m.b - m.a - spare), m.b - m.a + len(t) + spare
+            if m.size and (diff := self.confirmed(own[low:high], i)) is not None and (best is None or (len(t), -len(diff)) > best[0]):
+                same = [x for x in difflib.SequenceMatcher(None, t, own[low:high], autojunk=False).get_matching_blocks() if x.size]
+                best = ((len(t), -len(diff)), i, diff, at[low + same[0].b].start(), at[low + same[-1].b + same[-1].size - 1].end())
+        if best is None:
+            return []
+        _, i, diff, low, high = best
+        reduction = {k: r for r, k in self.ranked(paragraph[low:high])}[i]
+        return [*self.matches(paragraph[:low]), (self.templates[i][0], reduction, diff), *self.matches(paragraph[high:])]
+
 
 _MATCHER: list[Matcher] = []
 
@@ -120,10 +146,43 @@ def blocks(text: str) -> list[str]:
     return [b for r in out for b in (r if len(r) > 1 else r)] + ["\n".join(r) for r in out if len(r) > 1]
 
 
+def paragraphs(text: str) -> list[str]:
+    """Runs of cue lines extended by neighbouring lines that hold words, to the paragraph's ends or
+    by twice the longest template's words on both sides; runs on one line without such neighbours are left out."""
+    reach = 2 * max(len(words(t)) for _, t in TEMPLATES)
+    rows = text.split("\n")
+    cue, starts = [False] * len(rows), [0]
+    for x in rows:
+        starts.append(starts[-1] + len(x) + 1)
+    for m in re.finditer(WRAPPED, text):
+        for k in range(bisect.bisect_right(starts, m.start()) - 1, bisect.bisect_right(starts, m.end() - 1)):
+            cue[k] = True
+    out: list[tuple[int, int]] = []
+    high = 0
+    for low in range(len(rows)):
+        if not cue[low] or low < high:
+            continue
+        high = low + 1
+        while high < len(rows) and cue[high]:
+            high += 1
+        first, last, n = low, high, 0
+        while first and n < reach and (k := len(words(rows[first - 1]))):
+            first, n = first - 1, n + k
+        n = 0
+        while last < len(rows) and n < reach and (k := len(words(rows[last]))):
+            last, n = last + 1, n + k
+        if last - first > 1:
+            if out and first < out[-1][1]:
+                first = out.pop()[0]
+            out.append((first, last))
+    return ["\n".join(rows[a:b]) for a, b in out]
+
+
 def _scan(batches):
     if not _MATCHER:
         _MATCHER.append(Matcher())
     known: dict[str, tuple | None] = {}
+    wide: dict[str, list] = {}
     for b in batches:
         out = []
         for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -138,6 +197,16 @@ def _scan(batches):
                     ids.append(m[0])
                     best = max(best, m[1])
                     diff += m[2]
+            for block in paragraphs(text or ""):
+                if block not in wide:
+                    if len(wide) > 10_000:
+                        wide.clear()
+                    wide[block] = _MATCHER[0].matches(block)
+                for m in wide[block]:
+                    if m[0] not in ids:
+                        ids.append(m[0])
+                        best = max(best, m[1])
+                        diff += m[2]
             out.append((doc, len(found), ",".join(dict.fromkeys(ids)), round(best, 6), ",".join(dict.fromkeys(diff))))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.string()))], ["doc_id", "n_blocks", "licenses", "best_reduction", "differing_words"])
 
@@ -146,7 +215,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_blocks, licenses, best_reduction, differing_words of docs(doc_id, text)."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    cue = F.coalesce(F.col("text").rlike(CUE), F.lit(False))
+    cue = F.coalesce(F.col("text").rlike(WRAPPED), F.lit(False))
     none = rows.where(~cue).select("doc_id", F.lit(0).cast("long").alias("n_blocks"), F.lit("").alias("licenses"), F.lit(0.0).alias("best_reduction"), F.lit("").alias("differing_words"))
     return rows.where(cue).mapInArrow(_scan, "doc_id long, n_blocks long, licenses string, best_reduction double, differing_words string").unionByName(none)
 
