@@ -1,9 +1,10 @@
 """Learned models, serving and streaming on a small separable corpus."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import models, serve
+from textloom.operators import models, serve, tree
 from textloom.streaming import stream
 
 
@@ -33,10 +34,43 @@ def test_logistic_learns_and_serves(spark, corpus_df, model, tmp_path):
     assert serve.predict_one(spark, serve.load_model(at), "awful bad")["sentiment"] == "negative"
 
 
-def test_tree_forest_svm(corpus_df):
+def test_forest_svm_and_search(corpus_df):
     d = models.labelled(corpus_df)
-    for m in (models.fit_tree(d), models.fit_forest(d, k=5, trees=10), models.fit_svm(d, k=5)):
+    for m in (models.fit_forest(d, k=5, trees=10), models.fit_svm(d, k=5), models.fit_svm(d, k=5, gamma="auto")):
         assert models.macro_f1(models.predict(d, m)) > 0.8
+    found = models.optimise(d, [("logreg", "fit_logistic", {"c": [0.2, 1.0], "ngrams": [2], "min_df": [2]}), ("forest", "fit_forest", {"k": [4], "trees": [5], "depth": [None], "min_split": [5]})])
+    assert found["family"] == "logreg" and found["accepted_cv"] and found["accepted_test"] and len(found["tried"]) == 3
+
+
+def test_tree_against_a_plain_one(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 2, (200, 70))
+    y = np.where(x[:, 5] & x[:, 9], 2, np.where(x[:, 20], 1, 0))
+    v = np.round(rng.normal(size=(200, 4)) + y[:, None] * [1, 0, 0, 0.5], 3)
+
+    def plain(rows, cols, node, depth):
+        c = [int((y[rows] == k).sum()) for k in range(3)]
+        best = (0.0,)
+        if depth < tree.DEPTH and len(rows) >= tree.MIN_SPLIT and max(c) < len(rows):
+            for f in sorted(tree.drawn(node, cols.shape[1])):
+                col = cols[rows, f]
+                cut = 0.5 if cols is x else float(np.median(col))
+                up, down = rows[col > cut], rows[col <= cut]
+                if len(up) and len(down):
+                    g = [tree.gini([int((y[r] == k).sum()) for k in range(3)]) for r in (down, up)]
+                    gain = round(tree.gini(c) - (len(down) / len(rows) * g[0] + len(up) / len(rows) * g[1]), 12)
+                    best = (gain, f, cut, down, up) if gain > best[0] else best
+        if best[0] == 0:
+            return {node: c.index(max(c))}
+        return plain(best[3], cols, 2 * node + 1, depth + 1) | plain(best[4], cols, 2 * node + 2, depth + 1)
+
+    rows = [(i, int(y[i]), np.flatnonzero(x[i]).tolist(), v[i].tolist()) for i in range(200)]
+    df = spark.createDataFrame(rows, "id int, y int, present array<int>, vec array<double>")
+    for name, n, sparse, cols in (("present", 70, True, x), ("vec", 4, False, v)):
+        grown = tree.fit(df, name, n, sparse)
+        assert grown.leaves == plain(np.arange(200), cols, 0, 0)
+        assert grown.table(spark).count() == len(grown.leaves) + len(grown.splits)
+    assert tree.fit(df.limit(0), "vec", 4, False).leaves == {0: 0}
 
 
 def test_stream_equals_batch(spark, corpus_df, model, tmp_path):

@@ -222,3 +222,29 @@ def test_enrich_joins_the_terms_news(spark):
     r = collect.enrich(posts, news).first()
     assert (r.title, r.selftext, r.engagement, r.news_count_for_term, r.related_news_titles) == ("Title t", "", 3, 2, ["first", "second"])
     assert r.term_in_title and not r.has_selftext and r.created_datetime_utc == "1970-01-01T00:00:00+00:00"
+
+
+def test_medians(spark):
+    import statistics
+
+    from textloom.operators.quantiles import medians
+
+    rng = random.Random(6)
+    rows = [(k, rng.choice([None, float("nan"), rng.randrange(50), rng.random() * 100]) if k != "none" else None) for k in ["a", "b", None, "none", "one"] for _ in range(1 if k == "one" else 997)]
+    rows = [(k, None if v is None else float(v)) for k, v in rows] + [("one", 4.5)]
+    got = {r.k: r.median for r in medians(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
+    known = {}
+    for k, v in rows:
+        if v is not None and v == v:
+            known.setdefault(k, []).append(v)
+    assert got == {k: statistics.median(v) for k, v in known.items()}
+
+
+def test_polarity_rules(spark):
+    rows = ["a good film", "a very good film", "not a good film", "a GOOD film", "good!!!", "good but bad", "kiss of death", "good?? really", "", None, "GOOD", "extremely really good"]
+    v = spark.createDataFrame([("good", 1.9), ("bad", -2.5)], "word string, valence double")
+    got = {r.doc_id: r for r in lexicon.polarity_scores(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), v, idioms=[("kiss of death", -1.5)]).collect()}
+    s = lambda x: x / math.sqrt(x * x + 15)
+    want = [1.9, 1.9 + 0.293, 1.9 * -0.74, 1.9 + 0.733, 1.9 + 3 * 0.292, 1.9 * 0.5 - 2.5 * 1.5, -1.5, 1.9 + 0.36, 0, 0, 1.9, 1.9 + 0.293 + 0.293 * 0.95]
+    assert all(got[i].compound == pytest.approx(s(x)) for i, x in enumerate(want))
+    assert got[8].neu == got[9].neu == 1.0 and got[0].pos == pytest.approx(2.9 / 4.9)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from textloom.functions import scalars as S
 from textloom.functions.clean import safe_text, strip
+from textloom.operators.lexicon import polarity_scores
+from textloom.operators.quantiles import medians
 
 #: The terms used where no source gives any.
 DEFAULT_TERMS = ["Artificial Intelligence", "Climate Change", "Elections", "Technology", "Sports"]
@@ -70,8 +72,17 @@ def search_terms(posts: DataFrame, terms: DataFrame, limit: int = 100, text: str
     return hits.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
-def enrich(posts: DataFrame, news: DataFrame | None = None, label: Column | None = None) -> DataFrame:
-    """Cleaned title and body, engagement, dates, lengths, flags, and the term's news."""
+#: Columns of a post that enrichment passes on, with their types; absent ones become null.
+PASSED = {"trend_rank": "long", "upvote_ratio": "double", "is_self": "boolean", "over_18": "boolean", "locked": "boolean", "stickied": "boolean", "url": "string", "permalink": "string", "search_sort": "string"}
+#: The 34 columns of an enriched post, in order.
+ENRICHED = """term trend_rank post_id subreddit title selftext score num_comments engagement upvote_ratio is_self over_18 locked stickied created_utc
+created_datetime_utc created_day_of_week_utc created_hour_utc url permalink search_sort title_char_len selftext_char_len text_char_len has_selftext
+term_in_title term_in_selftext news_count_for_term related_news_titles compound neg neu pos sentiment_label""".split()
+
+
+def enrich(posts: DataFrame, news: DataFrame | None = None, label: Column | None = None, valence: DataFrame | None = None) -> DataFrame:
+    """Cleaned title and body, engagement, dates, lengths, flags, the term's news, and with
+    valence(word, valence) the polarity of title and body and its label."""
     title, body = strip(safe_text(F.col("title"))), strip(safe_text(F.col("selftext")))
     out = posts.withColumns({"title": title, "selftext": body, "score": S.lenient_int(F.col("score")), "num_comments": S.lenient_int(F.col("num_comments"))})
     ts = S.epoch_timestamp(F.col("created_utc"))
@@ -90,9 +101,20 @@ def enrich(posts: DataFrame, news: DataFrame | None = None, label: Column | None
     if news is not None:
         per = news.groupBy("term").agg(F.count("*").alias("news_count_for_term"), F.transform(F.array_sort(F.collect_list(F.struct("article_rank", "title"))), lambda s: s["title"]).alias("related_news_titles"))
         out = out.join(per, "term", "left").withColumns({"news_count_for_term": F.coalesce("news_count_for_term", F.lit(0)), "related_news_titles": F.coalesce("related_news_titles", F.array().cast("array<string>"))})
+    if valence is not None:
+        # Equal texts are scored once; the digest spreads them, and AQE splits a text that most posts share.
+        out = out.withColumn("__text", strip(F.concat_ws(" ", "title", "selftext"))).withColumn("__sha", F.sha2(F.encode("__text", "UTF-8"), 256))
+        scores = polarity_scores(out.groupBy("__sha").agg(F.first("__text").alias("__text")), valence, "__sha", "__text")
+        out = out.join(scores, "__sha", "left").drop("__sha", "__text").withColumn("sentiment_label", S.threshold_label(F.col("compound")))
     return out if label is None else out.withColumn("sentiment_label", label)
 
 
+def enriched_columns(df: DataFrame) -> DataFrame:
+    """The 34 columns of an enriched post; a null is_self counts as false."""
+    out = df.withColumns({c: F.lit(None).cast(t) for c, t in PASSED.items() if c not in df.columns})
+    return out.withColumn("is_self", F.coalesce("is_self", F.lit(False))).select(*ENRICHED)
+
+
 def dedup_enriched(df: DataFrame) -> DataFrame:
     return first_seen(df, ["term", "subreddit", "post_id"], [F.desc_nulls_last("engagement"), F.desc_nulls_last("created_utc")])
 
@@ -101,13 +123,21 @@ def dedup_raw(df: DataFrame) -> DataFrame:
     return first_seen(df, ["term", "subreddit", "post_id"], [F.desc_nulls_last("score"), F.desc_nulls_last("created_utc")])
 
 
+def _summary(df: DataFrame, key: str, measures: list[Column]) -> DataFrame:
+    """One row a key, null kept.  Each key is joined with its exact median engagement."""
+    out = df.groupBy(key).agg(F.count("post_id").alias("posts"), *measures, F.avg("compound").alias("avg_compound"), F.avg("engagement").alias("avg_engagement"))
+    middle = medians(df, [key], "engagement", "median_engagement").select(F.col(key).alias("__key"), "median_engagement")
+    return out.join(middle, F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
+
+
 def term_summary(df: DataFrame) -> DataFrame:
     """One row a term, null kept; medians are exact."""
-    is_ = lambda v: F.count_if(F.col("sentiment_label") == v)
-    out = df.groupBy("term").agg(F.min("trend_rank").alias("trend_rank"), F.count("post_id").alias("posts"), F.countDistinct("subreddit").alias("subreddits"), F.avg("compound").alias("avg_compound"), F.avg("engagement").alias("avg_engagement"), F.median("engagement").alias("median_engagement"), is_("positive").alias("positive_posts"), is_("neutral").alias("neutral_posts"), is_("negative").alias("negative_posts"))
-    return out.orderBy(F.asc_nulls_last("trend_rank"), F.desc("posts"), F.asc_nulls_last("term"))
+    is_ = lambda v: F.count_if(F.col("sentiment_label") == v).alias(f"{v}_posts")
+    out = _summary(df, "term", [F.min("trend_rank").alias("trend_rank"), F.countDistinct("subreddit").alias("subreddits"), *map(is_, ("positive", "neutral", "negative"))])
+    cols = ["term", "trend_rank", "posts", "subreddits", "avg_compound", "avg_engagement", "median_engagement", "positive_posts", "neutral_posts", "negative_posts"]
+    return out.select(cols).orderBy(F.asc_nulls_last("trend_rank"), F.desc("posts"), F.asc_nulls_last("term"))
 
 
 def subreddit_summary(df: DataFrame) -> DataFrame:
-    out = df.groupBy("subreddit").agg(F.count("post_id").alias("posts"), F.countDistinct("term").alias("terms"), F.avg("compound").alias("avg_compound"), F.avg("engagement").alias("avg_engagement"), F.median("engagement").alias("median_engagement"))
-    return out.orderBy(F.desc("posts"), F.asc_nulls_last("subreddit"))
+    out = _summary(df, "subreddit", [F.countDistinct("term").alias("terms")])
+    return out.select("subreddit", "posts", "terms", "avg_compound", "avg_engagement", "median_engagement").orderBy(F.desc("posts"), F.asc_nulls_last("subreddit"))

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from textloom.sources.shared import written
+
 
 def unigram_freq(df: DataFrame, tokens: str = "tokens", k: int | None = 200) -> DataFrame:
     """(token, frequency), most frequent first, ties by token; k None keeps all, k <= 0 none."""
@@ -32,18 +34,24 @@ def term_freq(df: DataFrame, key: str = "doc_id", tokens: str = "tokens") -> Dat
     return df.select(key, F.explode(tokens).alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"))
 
 
+def _idf(tf: DataFrame, n: DataFrame) -> DataFrame:
+    per = tf.groupBy("token").agg(F.count("*").alias("doc_freq"))
+    return per.join(F.broadcast(n)).select("token", "doc_freq", (F.log((1 + F.col("n")) / (1 + F.col("doc_freq"))) + 1).alias("idf"))  # n is one row
+
+
 def inverse_df(df: DataFrame, key: str = "doc_id", tokens: str = "tokens") -> DataFrame:
     """(token, doc_freq, idf); idf = ln((1 + N) / (1 + df)) + 1 with N all documents, also empty ones."""
     pairs = df.select(F.explode(F.array_distinct(tokens)).alias("token"))
-    n = df.agg(F.count("*").alias("n"))
-    per = pairs.groupBy("token").agg(F.count("*").alias("doc_freq"))
-    return per.join(F.broadcast(n)).select("token", "doc_freq", (F.log((1 + F.col("n")) / (1 + F.col("doc_freq"))) + 1).alias("idf"))  # n is one row
+    return _idf(pairs, df.agg(F.count("*").alias("n")))
 
 
 def tfidf(df: DataFrame, key: str = "doc_id", tokens: str = "tokens") -> DataFrame:
-    """(key, token, tf, tfidf): tf over the document's tokens times idf."""
+    """(key, token, tf, tfidf): tf over the document's tokens times idf.  Term frequencies are
+    written once; document frequencies are counts of their rows, so texts are tokenised once."""
     tf = df.select(key, F.size(tokens).alias("total"), F.explode(tokens).alias("token")).groupBy(key, "total", "token").agg(F.count("*").alias("tf"))
-    return tf.join(inverse_df(df, key, tokens), "token").select(key, "token", "tf", "doc_freq", "idf", (F.col("tf") / F.col("total") * F.col("idf")).alias("tfidf"))
+    tf = written(tf)
+    idf = _idf(tf, df.agg(F.count("*").alias("n")))
+    return tf.join(idf, "token").select(key, "token", "tf", "doc_freq", "idf", (F.col("tf") / F.col("total") * F.col("idf")).alias("tfidf"))
 
 
 def tfidf_features(df: DataFrame, key: str = "doc_id", tokens: str = "tokens", k: int = 200) -> DataFrame:
@@ -72,6 +80,14 @@ def vocabulary(df: DataFrame, tokens: str = "tokens", max_features: int = 1200)
     return top.withColumn("idx", F.row_number().over(W.orderBy(F.desc("frequency"), "token")) - 1).select("token", "idx")
 
 
+def bow(df: DataFrame, key: str = "doc_id", tokens: str = "tokens", max_features: int = 1200) -> tuple[DataFrame, DataFrame]:
+    """(vocabulary, bow_counts) of the same documents from one pass over their tokens."""
+    tf = written(term_freq(df, key, tokens))
+    top = tf.groupBy("token").agg(F.sum("tf").alias("frequency")).orderBy(F.desc("frequency"), "token").limit(max(0, max_features))
+    vocab = written(top.withColumn("idx", F.row_number().over(W.orderBy(F.desc("frequency"), "token")) - 1).select("token", "idx"))
+    return vocab, tf.join(F.broadcast(vocab), "token").select(key, "idx", F.col("tf").alias("cnt"))  # max_features rows
+
+
 def bow_counts(df: DataFrame, vocab: DataFrame, key: str = "doc_id", tokens: str = "tokens") -> DataFrame:
     """(key, idx, cnt); tokens outside the vocabulary drop out.  vocab is bounded by max_features."""
     return term_freq(df, key, tokens).join(F.broadcast(vocab), "token").select(key, "idx", F.col("tf").alias("cnt"))
@@ -80,14 +96,13 @@ def bow_counts(df: DataFrame, vocab: DataFrame, key: str = "doc_id", tokens: str
 def corpus_summary(df: DataFrame, k: int = 200, tokens: str = "tokens", kept: str = "tokens_no_stop", stemmed: str = "stemmed_tokens") -> DataFrame:
     """One row: documents, empty ones, mean token counts, exported and true distinct unigrams and bigrams."""
     size = lambda c: F.size(c).cast("long")
-    # One pass: a row for each document and each of its grams, summed by gram before the shuffle.
-    doc = F.struct(F.lit("d").alias("kind"), F.lit(None).cast("string").alias("gram"), F.lit(1).cast("long").alias("docs"), size(tokens).alias("a"), size(kept).alias("b"), size(stemmed).alias("c"), (F.size(stemmed) == 0).cast("long").alias("e"))
-    zero = F.lit(0).cast("long")
-    grams = lambda kind, x: F.transform(F.array_distinct(x), lambda g: F.struct(F.lit(kind).alias("kind"), g.alias("gram"), zero.alias("docs"), zero.alias("a"), zero.alias("b"), zero.alias("c"), zero.alias("e")))
-    rows = df.select(F.explode(F.concat(F.array(doc), grams("u", F.col(stemmed)), grams("b", bigrams(stemmed)))).alias("r")).select("r.*")
-    per = rows.groupBy("kind", "gram").agg(*[F.sum(c).alias(c) for c in ("docs", "a", "b", "c", "e")])
-    n = F.sum("docs")
-    out = per.agg(n.alias("n_docs"), F.sum("e").alias("n_empty"), (F.sum("a") / n).alias("avg_tokens"), (F.sum("b") / n).alias("avg_tokens_no_stop"), (F.sum("c") / n).alias("avg_stemmed"), F.count_if(F.col("kind") == "u").alias("unique_unigrams"), F.count_if(F.col("kind") == "b").alias("unique_bigrams"))
+    # Grams are counted by 16-byte hashes of theirs, never as strings, and distinct ones first
+    # within a document: 128 bits tell all grams of any corpus apart.
+    digest = lambda x: F.transform(x, lambda g: F.struct(F.xxhash64(g).alias("a"), F.xxhash64(g, F.lit(1)).alias("b")))
+    rows = df.select(size(tokens).alias("a"), size(kept).alias("b"), size(stemmed).alias("c"), stemmed)
+    sums = rows.agg(F.count("*").alias("n_docs"), F.count_if(F.col("c") == 0).alias("n_empty"), F.avg("a").alias("avg_tokens"), F.avg("b").alias("avg_tokens_no_stop"), F.avg("c").alias("avg_stemmed"))
+    count = lambda x, name: df.select(F.explode(digest(x)).alias("g")).distinct().agg(F.count("*").alias(name))
+    out = sums.join(F.broadcast(count(F.col(stemmed), "unique_unigrams"))).join(F.broadcast(count(bigrams(stemmed), "unique_bigrams")))  # one row each
     return out.withColumns({"exported_unigrams": F.least(F.lit(k).cast("long"), "unique_unigrams"), "exported_bigrams": F.least(F.lit(k).cast("long"), "unique_bigrams")})
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import scalars as S
 from textloom.operators.evaluate import majority_vote
+from textloom.sources.shared import written
 
 
 def prompt_keys(df: DataFrame, provider: str, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -59,7 +60,7 @@ def label_texts(df: DataFrame, rater: Callable[[str], str] | None, provider: str
         return out.withColumn("final_label", majority_vote(*[F.col(f"label_prompt_{i}") for i in (1, 2, 3)])), None
     keys = prompt_keys(df, provider, model, key, text)
     hits, misses = (keys.limit(0).withColumn("label", F.lit("")), keys) if cache is None else cached(keys, cache)
-    once = rate(misses.dropDuplicates(["cache_key"]), rater, attempts, strict).select("cache_key", "label", "failed").cache()
+    once = written(rate(misses.dropDuplicates(["cache_key"]), rater, attempts, strict).select("cache_key", "label", "failed"))
     rated = misses.join(once.select("cache_key", "label"), "cache_key")
     every = hits.select(key, "prompt_no", "label").unionByName(rated.select(key, "prompt_no", "label"))
     wide = every.groupBy(key).pivot("prompt_no", [1, 2, 3]).agg(F.first("label"))

@@ -71,30 +71,57 @@ def synset_predict(df: DataFrame, synsets: DataFrame, key: str = "doc_id", token
     return out.withColumn("label", margin_label(F.col("score"), margin))
 
 
+# Degree words and the constants of the published rules.
 BOOSTERS = ["very", "really", "extremely", "absolutely", "completely", "highly", "incredibly", "totally", "so"]
 DAMPENERS = ["slightly", "somewhat", "barely", "hardly", "marginally", "partly", "kinda"]
+DEGREE, CAPITALS, NEGATED = 0.293, 0.733, -0.74
+FADE = (1.0, 0.95, 0.9)  # a degree word one, two, three words before
+BUT_BEFORE, BUT_AFTER = 0.5, 1.5
+EXCLAIM, MOST_EXCLAIM = 0.292, 4
+QUESTION, MOST_QUESTION, MANY_QUESTIONS = 0.18, 3, 0.96
 
 
-def polarity_scores(df: DataFrame, valence: DataFrame, key: str = "doc_id", text: str = "text", alpha: float = 15.0) -> DataFrame:
+def emphasis(text: Column) -> Column:
+    """What exclamation marks (up to four) and repeated question marks add to a text's sum."""
+    marks, asks = F.regexp_count(text, F.lit("!")), F.regexp_count(text, F.lit(r"\?"))
+    return F.least(marks, F.lit(MOST_EXCLAIM)) * EXCLAIM + F.when(asks <= 1, 0.0).when(asks <= MOST_QUESTION, asks * QUESTION).otherwise(MANY_QUESTIONS)
+
+
+def polarity_scores(df: DataFrame, valence: DataFrame, key: str = "doc_id", text: str = "text", alpha: float = 15.0, idioms: list[tuple[str, float]] | None = None) -> DataFrame:
     """(key, neg, neu, pos, compound): rule scores after Hutto and Gilbert (2014) with a
-    pluggable valence(word, valence).  A booster or dampener before a word changes
-    its valence by 0.293, a negator among the three words before turns it by -0.74, and
-    capitals in a mixed-case text add 0.733; compound = s / sqrt(s * s + alpha).  An empty
-    text gives (0, 1, 0, 0)."""
-    raw = df.select(key, F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{N}']+"), F.lit(0)).alias("w"))
-    mixed = F.exists("w", lambda x: x == F.lower(x)) & F.exists("w", lambda x: (x == F.upper(x)) & (F.length(x) > 1))
-    rows = raw.withColumn("mixed", mixed).select(key, "mixed", F.posexplode("w").alias("i", "w")).withColumn("low", F.lower("w"))
+    pluggable valence(word, valence) and idioms (lower-case phrase, valence), which count as one word.
+
+    Capitals in a mixed-case text strengthen a word; a degree word among the three words
+    before it strengthens or weakens it, the less the further away; a negator among these
+    three turns it; what stands before the first "but" counts half and what stands after it
+    one and a half times; exclamation and repeated question marks strengthen the sum.
+    compound = s / sqrt(s * s + alpha).  An empty text gives (0, 1, 0, 0).  df has one row a key.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    for phrase, _ in idioms or []:
+        body = F.regexp_replace(body, r"(?i)(?<![\p{L}\p{N}'_])" + r"\s+".join(phrase.split()) + r"(?![\p{L}\p{N}'_])", phrase.replace(" ", "_"))
+    words = valence.select(F.col("word").alias("low"), "valence")
+    if idioms:
+        words = words.unionByName(df.sparkSession.createDataFrame([(p.replace(" ", "_"), float(x)) for p, x in idioms], "low string, valence double"))
+    raw = df.select(key, F.regexp_extract_all(body, F.lit(r"[\p{L}\p{N}'_]+"), F.lit(0)).alias("w"), emphasis(F.coalesce(F.col(text), F.lit(""))).alias("amp"))
+    mixed = F.exists("w", lambda x: x == F.lower(x)) & F.exists("w", lambda x: (x == F.upper(x)) & (x != F.lower(x)) & (F.length(x) > 1))
+    raw = raw.select(key, "amp", "w", mixed.alias("mixed"), F.array_position(F.transform("w", F.lower), "but").alias("but"))  # before the words become rows
+    rows = raw.select(key, "amp", "mixed", "but", F.posexplode("w").alias("i", "w")).withColumn("low", F.lower("w"))
+    loud = lambda x: F.col("mixed") & (x == F.upper(x)) & (x != F.lower(x)) & (F.length(x) > 1)
+    step = F.when(F.col("low").isin(BOOSTERS), DEGREE).when(F.col("low").isin(DAMPENERS), -DEGREE)
+    rows = rows.withColumn("degree", F.coalesce(step + F.when(loud(F.col("w")), F.signum(step) * CAPITALS).otherwise(0.0), F.lit(0.0)))
     at = W.partitionBy(key).orderBy("i")
-    before = F.lag("low", 1).over(at)
+    push = sum((F.coalesce(F.lag("degree", d).over(at), F.lit(0.0)) * FADE[d - 1] for d in (1, 2, 3)), F.lit(0.0))
     negated = F.coalesce(F.max(F.when(F.col("low").isin(NEGATORS), 1)).over(at.rowsBetween(-3, -1)), F.lit(0)) > 0
-    rows = rows.withColumns({"before": before, "negated": negated})
-    hit = rows.join(_dimension(valence.select(F.col("word").alias("low"), "valence")), "low", "left")
-    sign = F.signum("valence")
-    v = F.col("valence") + sign * F.when(F.col("mixed") & (F.col("w") == F.upper("w")) & (F.length("w") > 1), 0.733).otherwise(0.0)
-    v = v + sign * F.when(F.col("before").isin(BOOSTERS), 0.293).when(F.col("before").isin(DAMPENERS), -0.293).otherwise(0.0)
-    v = v * F.when(F.col("negated"), -0.74).otherwise(1.0)
-    sums = hit.withColumn("v", F.coalesce(v, F.lit(0.0))).groupBy(key).agg(F.sum("v").alias("s"), F.sum(F.when(F.col("v") > 0, F.col("v") + 1).otherwise(0.0)).alias("p"), F.sum(F.when(F.col("v") < 0, F.col("v") - 1).otherwise(0.0)).alias("n"), F.count_if(F.col("v") == 0).alias("z"))
-    total = F.col("p") - F.col("n") + F.col("z")
-    out = sums.select(key, (F.abs("n") / total).alias("neg"), (F.col("z") / total).alias("neu"), (F.col("p") / total).alias("pos"), (F.col("s") / F.sqrt(F.col("s") * F.col("s") + alpha)).alias("compound"))
+    rows = rows.withColumns({"push": push, "negated": negated})
+    hit = rows.join(_dimension(words), "low", "left")
+    v = F.col("valence") + F.signum("valence") * (F.when(loud(F.col("w")), CAPITALS).otherwise(0.0) + F.col("push"))
+    v = v * F.when(F.col("negated"), NEGATED).otherwise(1.0)
+    v = v * F.when((F.col("but") == 0) | (F.col("i") + 1 == F.col("but")), 1.0).when(F.col("i") + 1 < F.col("but"), BUT_BEFORE).otherwise(BUT_AFTER)
+    v = F.when(F.col("low").isin(BOOSTERS + DAMPENERS), 0.0).otherwise(F.coalesce(v, F.lit(0.0)))
+    sums = hit.withColumn("v", v).groupBy(key).agg(F.max("amp").alias("amp"), F.sum("v").alias("s"), F.sum(F.when(F.col("v") > 0, F.col("v") + 1).otherwise(0.0)).alias("p"), F.sum(F.when(F.col("v") < 0, 1 - F.col("v")).otherwise(0.0)).alias("n"), F.count_if(F.col("v") == 0).alias("z"))
+    sums = sums.select(key, "z", (F.col("s") + F.signum("s") * F.col("amp")).alias("s"), (F.col("p") + F.when(F.col("p") > F.col("n"), F.col("amp")).otherwise(0.0)).alias("p"), (F.col("n") + F.when(F.col("n") > F.col("p"), F.col("amp")).otherwise(0.0)).alias("n"))
+    total = F.col("p") + F.col("n") + F.col("z")
+    out = sums.select(key, (F.col("n") / total).alias("neg"), (F.col("z") / total).alias("neu"), (F.col("p") / total).alias("pos"), (F.col("s") / F.sqrt(F.col("s") * F.col("s") + alpha)).alias("compound"))
     full = df.select(key).join(out, key, "left")
     return full.select(key, *[F.coalesce(c, F.lit(d)).alias(c) for c, d in (("neg", 0.0), ("neu", 1.0), ("pos", 0.0), ("compound", 0.0))])

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from textloom.functions import clean as C
 from textloom.functions import scalars as S
 from textloom.functions import tokens as T
-from textloom.operators import bayes, collect, corpus, evaluate, labeling, lexicon, models, sampling, serve
+from textloom.operators import bayes, collect, corpus, evaluate, labeling, lexicon, sampling
 from textloom.sources import io
+from textloom.sources.shared import read_table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -31,7 +32,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return read_table(spark, f"{sf}/{name}.parquet") if name in ("documents", "pages", "conversations") else spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def docs(spark, sf: str) -> DataFrame:
@@ -271,7 +272,7 @@ BOW = f"bow AS (SELECT doc_id, idx, count(*) AS cnt FROM (SELECT doc_id, unnest(
 @query("bow_counts", f"WITH {VOCAB}, {BOW} SELECT doc_id, idx, cnt FROM bow")
 def _(spark, sf):
     d = v(spark, sf, "v2_no_stop")
-    return corpus.bow_counts(d, corpus.vocabulary(d)).withColumn("idx", F.col("idx").cast("long"))
+    return corpus.bow(d)[1].withColumn("idx", F.col("idx").cast("long"))
 
 
 @query("vocabulary_union", f"SELECT token FROM (SELECT unnest(tokens) AS token FROM ({V2})) UNION SELECT token FROM (SELECT unnest(tokens) AS token FROM ({V3}))")
@@ -326,11 +327,6 @@ def _(spark, sf):
     return lexicon.synset_predict(toks(spark, sf), sy, negators=NEG).withColumn("score", F.round("score", 6))
 
 
-@query("polarity_scores")
-def _(spark, sf):
-    valence = spark.createDataFrame([("with", 1.9), ("this", 1.2), ("from", 0.8), ("that", -1.5), ("than", -2.1)], "word string, valence double")
-    return lexicon.polarity_scores(docs(spark, sf), valence)
-
 
 # ---- labels, agreement, evaluation ----
 TRUTH = "CASE WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'positive' ELSE 'neutral' END"
@@ -462,8 +458,7 @@ mo AS (SELECT label, idx, log_prior, ln(c / sum(c) OVER (PARTITION BY label)) AS
 
 def nb(spark, sf):
     d = v(spark, sf, "v2_no_stop")
-    vocab = corpus.vocabulary(d)
-    counts = corpus.bow_counts(d, vocab)
+    vocab, counts = corpus.bow(d)
     return d, counts, bayes.multinomial_fit(counts, truth(spark, sf).select("doc_id", "label"), vocab)
 
 
@@ -617,60 +612,3 @@ def _(spark, sf):
 def _(spark, sf):
     e = table(spark, sf, "embeddings").withColumn("x", F.transform("embedding", lambda x: x.cast("double")))
     return e.select("vec_id", F.round(S.softmax_confidence(F.col("x")), 6).alias("softmax"), F.round(S.binary_confidence(F.col("x")[0]), 6).alias("binary_confidence"))
-
-
-# ---- learned models ----
-def training(spark, sf):
-    return models.labelled(docs(spark, sf).join(truth(spark, sf).select("doc_id", "label"), "doc_id")).cache()
-
-
-def _scored(fit):
-    def run(spark, sf):
-        d = sampling.stratified_split(training(spark, sf), "label").cache()
-        model = fit(d.where("split = 'train'").drop("split"))
-        return models.predict(d.where("split = 'test'"), model).select("doc_id", "label", "pred_label", "confidence")
-
-    return run
-
-
-QUERIES["logistic_regression"] = _scored(models.fit_logistic)
-QUERIES["svm_fourier"] = _scored(lambda t: models.fit_svm(t, k=10))
-QUERIES["random_forest"] = _scored(lambda t: models.fit_forest(t, k=10, trees=20))
-QUERIES["decision_tree"] = _scored(models.fit_tree)
-
-
-@query("predict_batch")
-def _(spark, sf):
-    d = training(spark, sf)
-    every, _wrong = serve.export(docs(spark, sf).join(truth(spark, sf).select("doc_id", "label"), "doc_id"), models.fit_logistic(d))
-    return serve.low_confidence(every).select("doc_id", "label", "pred_label", "confidence", "is_correct", "low_confidence")
-
-
-@query("predict_stream")
-def _(spark, sf):
-    """The stream's result equals the batch's; it is written to the session's shared folder."""
-    import tempfile
-    import uuid
-
-    from textloom.streaming import stream
-
-    model = models.fit_logistic(training(spark, sf))
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="textloom-")) + f"/stream-{uuid.uuid4().hex}"
-    d = docs(spark, sf)
-    arriving = spark.readStream.schema(table(spark, sf, "documents").schema).parquet(f"{sf}/documents.parque[t]").select("doc_id", "text")
-    stream.run_available(arriving, f"{root}/out", f"{root}/checkpoint", lambda s: stream.score_stream(s, model))
-    return spark.read.parquet(f"{root}/out").select(*d.columns, "pred_label", "confidence").drop("text")
-
-
-@query("benchmark_18")
-def _(spark, sf):
-    from textloom.plans.pipelines import benchmark
-
-    return benchmark(docs(spark, sf).join(truth(spark, sf).select("doc_id", "label"), "doc_id"), small_lexicon(spark), spark.createDataFrame(SYNSETS, "lemma string, rank int, pos_score double, neg_score double"), table(spark, sf, "embeddings"))
-
-
-@query("grid_best")
-def _(spark, sf):
-    found = models.optimise(training(spark, sf), "tiny")
-    row = (found["family"], str(found["params"]), found["cv_macro_f1"], found["test_macro_f1"], found["dummy_macro_f1"], found["accepted"], found["folds"])
-    return spark.createDataFrame([row], "family string, params string, cv_macro_f1 double, test_macro_f1 double, dummy_macro_f1 double, accepted boolean, folds int")

@@ -42,7 +42,8 @@ def read_csv_or_empty(spark: SparkSession, path: str, schema: StructType | str)
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV with header; array columns become space-joined texts."""
     flat = [F.array_join(c, " ").alias(c) if t.startswith("array<string") else F.to_json(c).alias(c) if t.startswith(("array", "map", "struct")) else F.col(c) for c, t in df.dtypes]
-    df.select(*flat).write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    keep = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.select(*flat).write.mode(mode).options(**keep).csv(path)
 
 
 def read_json(spark: SparkSession, path: str) -> dict | None:
