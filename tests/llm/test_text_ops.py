@@ -1,6 +1,7 @@
 """Each operator against a brute-force form on a small fixture."""
 
 import hashlib
+import os
 import re
 import textwrap
 from collections import Counter, defaultdict
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import bpe, exact_dedup, licenses, mixing, near_dedup, pii, quality, substring_dedup
+from textloom.llm import bloom, bpe, exact_dedup, licenses, mixing, near_dedup, pii, quality, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
@@ -35,6 +36,44 @@ def test_exact_dedup(docs, rows, empty):
     assert exact_dedup.exact_groups(empty).count() == 0 and exact_dedup.exact_dedup(empty).count() == 0
 
 
+def test_exact_dedup_with_many_null_ids(spark):
+    """10,000 rows without an id: texts alone decide, and equal rows leave one."""
+    rows = [(None, f"text {i % 4000}", i) for i in range(10_000)] + [(1, "text 1", 0), (1, "TEXT 1", 1), (2, None, 2), (None, "", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __k1 int").repartition(7)
+    kept = exact_dedup.exact_dedup(df)
+    got = kept.collect()
+    assert kept.columns == df.columns and len(got) == 4001
+    assert {lower(r.text) for r in got} == {lower(t) for _, t, _ in rows}
+    assert {r.doc_id for r in got if lower(r.text) in ("text 1", "")} == {1, 2}
+
+
+def test_keep_rows_beyond_the_broadcast_bound(spark, docs, monkeypatch):
+    from textloom.llm import common
+
+    near = sorted(map(repr, exact_dedup.exact_dedup(docs).select("doc_id", "text").collect()))
+    monkeypatch.setattr(common, "BROADCAST_KEYS", 0)
+    assert sorted(map(repr, exact_dedup.exact_dedup(docs).select("doc_id", "text").collect())) == near
+
+
+@pytest.mark.parametrize("keys", [500_000, 50])
+def test_filter_in_parts(spark, monkeypatch, keys):
+    """No repeated key is missed and the share of false positives doesn't depend on the parts."""
+    monkeypatch.setattr(bloom, "KEYS", keys)
+    rng = np.random.default_rng(1)
+    single, double = (rng.integers(0, 2**64, n, dtype=np.uint64) for n in (6000, 500))
+    every = np.concatenate([single, double, double, np.repeat(double[:1], 3000)])
+    rng.shuffle(every)
+    units = dict(enumerate(np.array_split(every, 7)))
+    bits = bloom.part_bits(len(every), 4)
+    found = bloom.answers(spark.createDataFrame([(u, bloom.pack(k)) for u, k in units.items()], "unit long, keys binary"), bits).collect()
+    hit = Counter()
+    for u, k in units.items():
+        own = [r for r in found if r.unit == u]
+        hit.update(k[bloom.marked(k, bits, [r.part for r in own], [r.maybe for r in own])].tolist())
+    assert all(hit[k] >= 2 for k in double.tolist())
+    assert sum(hit[k] for k in single.tolist()) < 0.03 * len(single)
+
+
 def test_substring_dedup(docs, rows, empty):
     first = {}
     for i, t in rows:
@@ -67,8 +106,26 @@ def test_symbols_depend_on_their_context_only():
     assert all(fa[50 + i] == fb[77 + i] for i in range(388))
 
 
+def five_words(t):
+    """The multiset of a text's five-word shingles as (words, n-th occurrence), in plain Python."""
+    w = WORD.findall(t or "")
+    seen, out = Counter(), []
+    for k in range(max(1, len(w) - 4) if w else 0):
+        s = tuple(w[k : k + 5])
+        out.append((s, seen[s]))
+        seen[s] += 1
+    return out
+
+
 def exact_classes(rows):
-    el = near_dedup.elements(*near_dedup.shingles([t.encode() if t else None for _, t in rows]))
+    """Classes of texts at 0.8 by comparing all pairs, without any code of the operator."""
+    ids = {}
+    own = [[ids.setdefault(e, len(ids)) for e in five_words(t)] for _, t in rows]
+    x = np.zeros((len(rows), max(1, len(ids))), np.float32)
+    for i, e in enumerate(own):
+        x[i, e] = 1
+    both, size = x @ x.T, x.sum(axis=1)
+    alike = both >= 0.8 * (size[:, None] + size[None, :] - both) - 1e-3
     parent = list(range(len(rows)))
 
     def find(x):
@@ -76,16 +133,37 @@ def exact_classes(rows):
             x = parent[x]
         return x
 
-    for i in range(len(rows)):
-        for j in range(i):
-            if near_dedup.similarity(el[i], el[j]) >= 0.8:
-                parent[find(i)] = find(j)
+    for i, j in zip(*np.nonzero(alike & (both > 0))):
+        parent[find(int(i))] = find(int(j))
     out = defaultdict(list)
     for i, (d, _) in enumerate(rows):
         out[find(i)].append(d)
     return out
 
 
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_near_dedup_recall_on_documents(spark):
+    """Links of every id, among them those divisible by 20, against all rows: each partner is in the same class."""
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = {r.doc_id: five_words(r.text) for r in d.collect()}
+    where = defaultdict(list)
+    for i, e in rows.items():
+        for x in e:
+            where[x].append(i)
+    links = []
+    for q in rows:
+        both = Counter(j for x in rows[q] for j in where[x])
+        links += [(q, j) for j, n in both.items() if j != q and n >= 0.8 * (len(rows[q]) + len(rows[j]) - n)]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_classes(d).collect()}
+    asked = [x for x in links if x[0] % 20 == 0]
+    for some in (links, asked):
+        assert some and sum(got[a] == got[b] for a, b in some) >= 0.9 * len(some)
+    print("recall", [(sum(got[a] == got[b] for a, b in x), len(x)) for x in (links, asked)])
+
+
 def test_near_dedup(docs, rows, empty):
     got = near_dedup.near_classes(docs).collect()
     assert len(got) == len(rows)
@@ -95,7 +173,7 @@ def test_near_dedup(docs, rows, empty):
         known = [i for i in ids if i is not None]
         if known:
             assert {by_id[i].class_id for i in known} == {min(known)}
-    kept = near_dedup.near_dedup(docs)
+    kept = near_dedup.near_dedup(docs.withColumn("node", F.lit(1)).withColumn("unit", F.lit(2))).drop("node", "unit")
     assert kept.columns == docs.columns and kept.count() == len(classes)
     assert near_dedup.near_classes(empty).count() == 0 and near_dedup.near_dedup(empty).count() == 0
 
@@ -311,6 +389,22 @@ def test_mixing(docs, rows, empty):
     assert kept.columns == docs.columns and kept.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
 
 
+@pytest.mark.parametrize("how", [{"entropy": 0.97, "max_epochs": 3.0}, {"entropy": None, "max_epochs": 2.0, "cover": True}, {"entropy": 0.8, "max_epochs": None, "budget_tokens": 900.0}])
+def test_mixing_of_more_sources_than_a_row_holds(docs, monkeypatch, how):
+    want = sorted(map(repr, mixing.mixed(docs, **how).select("doc_id", "copies", F.round("weight", 9)).collect()))
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 2)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
+    assert sorted(map(repr, mixing.mixed(docs, **how).select("doc_id", "copies", F.round("weight", 9)).collect())) == want
+
+
+def test_mixing_keeps_columns_of_any_name(docs):
+    names = ["cut", "cut2", "whole", "exponent", "epochs", "weight", "__src", "__row", "tokens"]
+    wide = docs.select("*", *[F.lit(n).alias(n) for n in names])
+    out = mixing.mixed(wide)
+    assert set(out.columns) == set(wide.columns) | {"n_tokens", "copies"} and out.first().cut == "cut"
+    assert mixing.realised(wide).columns == wide.columns
+
+
 def test_mixing_meets_its_budget(spark):
     rows = [(i, "big" if i % 3 else f"s{i % 9}", "w " * (1 + i % 5)) for i in range(6000)]
     out = mixing.mixed(spark.createDataFrame(rows, "doc_id long, source string, text string"), entropy=0.9)

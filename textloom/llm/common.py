@@ -2,43 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.sources.shared import clear as clear_written  # noqa: F401
+from textloom.sources.shared import read_table, written  # noqa: F401
+
 #: Words are maximal runs of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Row keys up to which a set of them is broadcast (16 bytes each); larger sets join by shuffle.
+BROADCAST_KEYS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a
-    local temporary one where the session has none (tests, single node)."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = "file://" + tempfile.mkdtemp(prefix="textloom-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    return d.rstrip("/")
-
-
-def written(df: DataFrame, bucket_by: str | None = None, buckets: int = 0) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: the lineage
-    is cut, and the rows survive the loss of any executor.  Bucketed rows can be
-    grouped by bucket_by without a shuffle."""
-    spark = df.sparkSession
-    name = f"textloom_{uuid.uuid4().hex}"
-    path = f"{shared_dir(spark)}/textloom/{name}"
-    if bucket_by:
-        df.write.bucketBy(buckets, bucket_by).option("path", path).saveAsTable(name)
-        return spark.table(name)
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def small_batches(spark: SparkSession, mb: int = 4) -> None:
@@ -67,8 +44,33 @@ def attach(rows: DataFrame, keys: list[str], partial: dict[str, Column], final:
     return salted.join(by_salt, [*keys, "__salt"]).drop("__salt")
 
 
-def clear_written(spark: SparkSession) -> None:
-    """Deletes the tables that ``written`` left in the shared folder; results that
-    are still to be read depend on them."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/textloom")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def spread_join(rows: DataFrame, side: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """rows joined with side, which has one row a key.  Rows of a key are split by a salt drawn
+    from column ``by``, and side is copied to the salts that its key has, so that no hot key is
+    one task's."""
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(max(16, shuffle_partitions(rows.sparkSession)))))
+    copies = salted.select(key, "__salt").distinct().join(side, key)
+    return salted.join(copies, [key, "__salt"], how).drop("__salt")
+
+
+def row_key() -> dict[str, Column]:
+    """128 bits that name a row by its doc_id and text; rows that agree in both are interchangeable."""
+    return {f"__k{i}": F.xxhash64(F.lit(i), F.col("doc_id").cast("long"), F.col("text").cast("string")) for i in (1, 2)}
+
+
+def keep_rows(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of docs (all columns) that stay, by groups(__k1, __k2, kept) of those that may go.
+
+    Keys without a kept row go; of rows that share a kept row's key one stays.  Only keys are
+    joined and the texts stay where they are: the two sets of keys are broadcast up to
+    ``BROADCAST_KEYS``, and beyond that joined by shuffle.
+    """
+    keys = ["__k1", "__k2"]
+    tagged = docs.select(F.struct("*").alias("__row"), *[c.alias(k) for k, c in row_key().items()])
+    per = written(groups.groupBy(*keys).agg(F.max("kept").alias("any"), F.count("*").alias("n")))
+    lost, ties = per.where("not any").select(keys), per.where("any and n > 1").select(keys)
+    small = lambda d: F.broadcast(d) if d.count() <= BROADCAST_KEYS else d
+    lost, ties = small(lost), small(ties)
+    rest = tagged.join(lost, keys, "left_anti")
+    once = rest.join(ties, keys, "left_semi").groupBy(*keys).agg(F.first("__row").alias("__row"))
+    return rest.join(ties, keys, "left_anti").select("__row.*").unionByName(once.select("__row.*"))

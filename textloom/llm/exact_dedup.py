@@ -1,20 +1,19 @@
 """Exact deduplication by two-pass Bloom filtering.
 
-Pass 1 hashes every whole text once (SHA-256 of the UTF-8 text with A-Z
-lower-cased) and adds each hash to a two-bit counting Bloom filter: a slot
-remembers "hit once" and "hit twice or more".  Tasks emit the slots that they
-hit; the merge counts them.  Pass 2 probes: only rows all of whose slots were
-hit at least twice are possibly repeated, and only those rows shuffle (by hash,
-without their texts).  All other rows pass straight through.
-
-The filter is sized from the row count, at most ``max_filter_bits`` (32 MB of
-twice-hit bits by default, the bound of what is collected and broadcast).  When
-the rows outgrow it the share of false positives rises and more rows take the
-exact path; the result is the same at every size.
+Pass 1 hashes every whole text once (SHA-256 of the UTF-8 text with A-Z lower-cased)
+and adds each hash to a counting Bloom filter whose slots remember "hit once" and "hit
+twice or more".  Pass 2 probes: only rows all of whose slots were hit at least twice are
+possibly repeated, and only those rows shuffle (by hash, without their texts).  All other
+rows pass straight through.
+
+The filter is kept in parts (``bloom``): units of rows send 32 bits a hash and get a
+bitmap back, so that neither the filter nor its load grows in any one place.  Digests are
+written once, bucketed by unit, and meet their unit's bitmap without a shuffle.
 
 Defined results: a null text counts as empty; a null doc_id sorts below all
 others; of rows with equal doc_id and text exactly one stays; an empty table
-gives an empty result; extra columns are ignored.
+gives an empty result; extra columns are ignored by ``exact_groups`` and kept by
+``exact_dedup``; a very long text is hashed whole.
 """
 
 from __future__ import annotations
@@ -23,63 +22,83 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import bloom
-from textloom.llm.common import attach, small_batches, table, written
+from textloom.llm.common import attach, keep_rows, row_key, shuffle_partitions, small_batches, table, written
+
+#: Rows of a unit; a unit's digests are about 1.3 MB.
+UNIT_ROWS = 20_000
+ROW = pa.schema([("doc_id", pa.int64()), ("row_id", pa.int64()), ("sha", pa.string()), ("__k1", pa.int64()), ("__k2", pa.int64())])
+ROW_DDL = "doc_id long, row_id long, sha string, __k1 long, __k2 long"
 
 
 def _digest(batches):
-    for b in batches:
-        texts = b.column(1).cast(pa.binary()).to_pylist()
-        raw = [hashlib.sha256((t or b"").lower()).digest() for t in texts]  # bytes.lower() touches A-Z only
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.hex() for r in raw]), pa.array([int.from_bytes(r[:8], "big", signed=True) for r in raw], pa.int64()), b.column(2)], ["doc_id", "sha", "h", "row_id"])
+    """Units: (unit, n, keys, body); the body holds the digests as Arrow rows."""
+    task, count, held = TaskContext.get().partitionId(), 0, []
 
+    def unit(rows):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, ROW, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_table(rows)
+        keys = np.array([int(x[:16], 16) for x in rows.column("sha").to_pylist()], np.uint64)
+        return pa.RecordBatch.from_arrays([pa.array([(task << 32) + count]), pa.array([len(keys)]), pa.array([bloom.pack(keys)], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["unit", "n", "keys", "body"])
 
-def _hits(bits: int):
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                yield bloom.hit_batch(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits)
+    for b in batches:
+        raw = [hashlib.sha256((t or b"").lower()).hexdigest() for t in b.column("text").cast(pa.binary()).to_pylist()]  # bytes.lower() touches A-Z only
+        held.append(pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_id"), pa.array(raw, pa.string()), b.column("__k1"), b.column("__k2")], schema=ROW))
+        if sum(h.num_rows for h in held) >= UNIT_ROWS:
+            yield unit(pa.Table.from_batches(held))
+            count, held = count + 1, []
+    if any(h.num_rows for h in held):
+        yield unit(pa.Table.from_batches(held))
+
+
+def _probe(bits: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts, bitmaps = right.column("part").to_pylist(), right.column("maybe").to_pylist()
+        out = []
+        for keys, body in zip(left.column("keys").to_pylist(), left.column("body").to_pylist()):
+            maybe = bloom.marked(bloom.unpack(keys, np.uint64), bits, parts, bitmaps)
+            out.append(pa.ipc.open_stream(body).read_all().append_column("maybe", pa.array(maybe)))
+        return pa.concat_tables(out) if out else ROW.append(pa.field("maybe", pa.bool_())).empty_table()
 
     return run
 
 
-def _probe(bits: int, shared):
-    def run(batches):
-        for b in batches:
-            h = b.column(b.schema.get_field_index("h")).to_numpy(zero_copy_only=False).view(np.uint64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bloom.maybe_twice(shared.value, h, bits))], [*b.schema.names, "maybe"])
+def probed(docs: DataFrame) -> DataFrame:
+    """A row for each row of docs(doc_id, text): ids, digest, row key, and maybe: its text may be repeated."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[c.alias(k) for k, c in row_key().items()]).withColumn("row_id", F.monotonically_increasing_id())
+    units = written(rows.mapInArrow(_digest, "unit long, n long, keys binary, body binary"), bucket_by="unit", buckets=shuffle_partitions(spark))
+    n = units.agg(F.sum("n")).first()[0] or 0
+    bits = bloom.part_bits(n, shuffle_partitions(spark))
+    found = bloom.answers(units, bits)
+    return units.groupBy("unit").cogroup(found.groupBy("unit")).applyInArrow(_probe(bits), ROW_DDL + ", maybe boolean")
+
 
-    return run
+def repeats(rows: DataFrame) -> DataFrame:
+    """The possibly repeated rows with keep (doc_id, row_id) and group_size.  A hot group is
+    summed and joined by (hash, salt), never in one task."""
+    return attach(rows.where("maybe"), ["sha"], {"top": F.max(F.struct("doc_id", "row_id")), "n": F.count("*")}, {"keep": F.max("top"), "group_size": F.sum("n")}, "row_id")
 
 
-def exact_groups(docs: DataFrame, max_filter_bits: int = 28) -> DataFrame:
+def exact_groups(docs: DataFrame) -> DataFrame:
     """doc_id, row_id, keep_id, group_size, kept, text_sha256 of each row of docs(doc_id, text)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    digests = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("row_id")).mapInArrow(_digest, "doc_id long, sha string, h long, row_id long"))
-    bits = bloom.filter_bits(digests.count(), 16, max_filter_bits)
-    shared = bloom.twice_filter(digests.select("h").mapInArrow(_hits(bits), bloom.HITS), bits)
-    probed = digests.mapInArrow(_probe(bits, shared), digests.schema.simpleString()[7:-1].replace(":", " ") + ", maybe boolean")
-    alone = probed.where("not maybe").select("doc_id", "row_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
-    # A hot group is summed and joined by (hash, salt), never in one task.
-    again = attach(probed.where("maybe"), ["sha"], {"top": F.max(F.struct("doc_id", "row_id")), "n": F.count("*")}, {"keep": F.max("top"), "group_size": F.sum("n")}, "row_id")
-    found = again.select("doc_id", "row_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row_id") == F.col("keep.row_id")).alias("kept"), F.col("sha").alias("text_sha256"))
+    rows = written(probed(docs))
+    alone = rows.where("not maybe").select("doc_id", "row_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
+    found = repeats(rows).select("doc_id", "row_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row_id") == F.col("keep.row_id")).alias("kept"), F.col("sha").alias("text_sha256"))
     return alone.unionByName(found)
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of docs (all columns) that stay: one of each group of equal texts."""
-    lost = exact_groups(docs).where("not kept").select(F.col("doc_id").alias("__id"), F.col("keep_id").alias("__keep"), F.col("text_sha256").alias("__sha"))
-    sha = F.sha2(F.encode(F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "UTF-8"), 256)
-    # instr(...) = 1 keeps the hash out of the join key: it is computed for rows whose doc_id matches only.
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.instr(sha, F.col("__sha")) == 1)
-    rest = docs.join(lost.where("not (__id <=> __keep)"), same, "left_anti")
-    # Rows with equal doc_id and text: one stays.
-    ties = lost.where("__id <=> __keep").dropDuplicates(["__id", "__sha"])
-    return rest.join(ties, same, "left_anti").unionByName(rest.join(ties, same, "left_semi").withColumn("__sha0", sha).dropDuplicates(["doc_id", "__sha0"]).drop("__sha0"))
+    """The rows of docs (all columns) that stay: one of each group of equal texts.  Rows whose
+    text is not repeated pass straight through; texts are never shuffled."""
+    again = repeats(written(probed(docs).where("maybe"))).where("group_size > 1")
+    return keep_rows(docs, again.select("__k1", "__k2", (F.col("row_id") == F.col("keep.row_id")).alias("kept")))
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:

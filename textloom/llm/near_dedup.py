@@ -7,23 +7,29 @@ shingles need a logarithmic number of processes.  Points come in order of time
 and stop once they are later than every register, which makes signatures quick;
 agreement of registers is an unbiased estimate of weighted Jaccard similarity.
 
-1. Equal texts collapse to one node first.
+1. Documents are read once, in units of a few MB that are written with their band keys,
+   bucketed by unit; later steps meet a unit without a shuffle, and no text is shuffled.
+   Equal texts are one node.
 2. 16 bands of 4 registers: at a similarity of 0.8 a pair shares a band with
-   probability 0.9998.  A counting Bloom filter drops band keys that occur once.
-3. In small bands (at most ``SMALL`` nodes) nodes pair up.  In larger ones each
-   node pairs with the band's ``PIVOTS`` most connected nodes, which in a group of
-   near copies are the text they were made from and its closest copies.  Nodes of
-   large bands that are not in one class by these links are then paired by prefixes:
-   ordered from rare to frequent, two texts that are alike share one of their first
-   elements, so that a passage of many different documents pairs nobody and no
-   pair of two classes is missed.  No class is paired with itself.
-4. Each distinct pair is verified by the exact multiset overlap.
+   probability 0.9998.  A counting Bloom filter in parts drops band keys that occur once.
+3. In bands of at most ``SMALL`` nodes all pair up, and in larger ones each with the band's
+   ``PIVOTS`` most connected nodes, which in a group of near copies are the text they were
+   made from and its closest copies.  This only saves work, as no class is paired with
+   itself later: all nodes of larger bands, also those that have a link, are then searched
+   by prefixes.  Ordered from rare to frequent, two texts that are alike share one of their
+   first elements, so that a passage of many different documents pairs nobody, and no pair
+   of two classes is missed.
+4. Each distinct pair is verified by the exact overlap of the multisets (of 64-bit hashes).
 5. Classes are connected components, by label propagation with pointer jumping
    on tables in the shared folder.
 
+Hot bands, nodes, pivots and hubs are split by salts.  ``n_links`` counts verified links; a
+link inside a class that the pivots made is not listed.
+
 Defined results: a text of one to four words is one shingle; a text without
 words (null, empty) forms a class of its own; of rows with equal doc_id and text
-one stays; null ids sort last; an empty table gives an empty result.
+one stays; null ids sort last; an empty table gives an empty result; very long texts are
+read whole; extra columns are ignored by ``near_classes`` and kept by ``near_dedup``.
 """
 
 from __future__ import annotations
@@ -31,12 +37,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import bloom
-from textloom.llm.common import attach, shuffle_partitions, small_batches, table, written
-from textloom.llm.substring_dedup import U, _parse, mix
+from textloom.llm.common import attach, keep_rows, row_key, shuffle_partitions, small_batches, spread_join, table, written
+from textloom.llm.words import U, mix, parse
 
 SHINGLE = 5
 REGISTERS, BAND = 64, 4
@@ -44,6 +51,8 @@ THRESHOLD = 0.8
 SMALL = 8
 PIVOTS = 3
 GOLD = U(0x9E3779B97F4A7C15)
+#: Text bytes and rows of a unit.
+UNIT_BYTES, UNIT_ROWS = 8 << 20, 20_000
 
 
 def _step(i: int) -> np.uint64:
@@ -52,7 +61,7 @@ def _step(i: int) -> np.uint64:
 
 def shingles(texts: list[bytes | None], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """(row, shingle hash, count) of each distinct shingle, by row; rows."""
-    word, row, first = _parse(texts)
+    word, row, first = parse(texts)
     n, rows = len(word), len(texts)
     sizes = np.diff(np.append(first, n))
     f = word.copy()
@@ -115,7 +124,7 @@ def elements(row: np.ndarray, sh: np.ndarray, count: np.ndarray, rows: int) -> l
     """Each row's multiset as sorted distinct numbers: a shingle's i-th occurrence is an element."""
     r = np.repeat(row, count)
     nth = np.arange(len(r)) - np.repeat(np.cumsum(count) - count, count)
-    e = (mix(np.repeat(sh, count) + nth.astype(np.uint64) * GOLD) >> U(32)).astype(np.uint32)
+    e = mix(np.repeat(sh, count) + nth.astype(np.uint64) * GOLD)
     order = np.lexsort((e, r))
     ends = np.searchsorted(r[order], np.arange(rows + 1))
     e = e[order]
@@ -126,7 +135,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Weighted Jaccard similarity of two sorted element arrays."""
     if not len(a) or not len(b):
         return 0.0
-    both = len(np.intersect1d(a, b))
+    both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both)
 
 
@@ -134,94 +143,128 @@ def _content(texts: list[bytes | None]) -> list[bytes | None]:
     return [xxhash.xxh3_128_digest(b" ".join(w)) if (w := (t or b"").split()) else None for t in texts]
 
 
-def _sign(batches):
-    for b in batches:
-        texts = b.column("text").cast(pa.binary()).to_pylist()
-        keys = band_keys(signatures(*shingles(texts))).view(np.int64)
-        node = _content(texts)
-        bands = [None if c is None else k for c, k in zip(node, list(keys))]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_id"), b.column("th"), pa.array(node, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "row_id", "th", "node", "bands"])
+ROW = pa.schema([("doc_id", pa.int64()), ("row_id", pa.int64()), ("__k1", pa.int64()), ("__k2", pa.int64()), ("node", pa.binary())])
+ROW_DDL = "doc_id long, row_id long, __k1 long, __k2 long, node binary"
 
 
-def _keys(mode: str, bits: int, filt=None):
-    def run(batches):
-        for b in batches:
-            col = b.column("bands")
-            flat = col.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            if mode == "hit":
-                yield bloom.hit_batch(flat, bits)
-                continue
-            m = bloom.maybe_twice(filt.value, flat, bits)
-            parent = np.repeat(np.arange(len(col)), np.diff(col.offsets.to_numpy()))[m]
-            weight = np.bincount(parent, minlength=len(col))[parent]
-            yield pa.RecordBatch.from_arrays([pa.array(flat[m].view(np.int64)), b.column("node").take(pa.array(parent)), pa.array(weight)], ["band", "node", "weight"])
+def _ipc(t: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(t)
+    return sink.getvalue().to_pybytes()
 
-    return run
 
+def _read(body: bytes) -> pa.Table:
+    return pa.ipc.open_stream(body).read_all()
 
-def _wanted(bits: int):
-    def run(batches):
-        for b in batches:
-            u = np.array([int.from_bytes(x[:8], "little") for c in b.columns for x in c.to_pylist()], np.uint64)
-            yield bloom.hit_batch(np.repeat(u, 2), bits)  # twice: the filter holds what is hit at all
 
-    return run
+def _units(batches):
+    """Units: rows (ids and nodes), and for the unit's distinct texts nodes, texts and band keys."""
+    task, count = TaskContext.get().partitionId(), 0
+    rows, nodes, texts, keys, size = [], {}, [], [], 0
 
+    def unit():
+        out = [(task << 32) + count, len(nodes), bloom.pack(np.concatenate(keys) if keys else np.empty(0, np.uint64)), b"".join(nodes), _ipc(pa.Table.from_batches(rows, ROW)), _ipc(pa.table({"text": pa.array(texts, pa.large_binary())}))]
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()))], ["unit", "n", "keys", "nodes", "rows", "texts"])
 
-def _bodies(bits: int, filt):
-    def run(batches):
-        for b in batches:
-            texts = b.column("text").cast(pa.binary()).to_pylist()
-            node = _content(texts)
-            some = [i for i, c in enumerate(node) if c is not None]
-            u = np.array([int.from_bytes(node[i][:8], "little") for i in some], np.uint64)
-            some = [i for i, ok in zip(some, bloom.maybe_twice(filt.value, u, bits)) if ok]
-            rows = elements(*shingles([texts[i] for i in some]))
-            yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in some], pa.binary()), pa.array([r.tobytes() for r in rows], pa.binary())], ["node", "body"])
+    for b in batches:
+        body = b.column("text").cast(pa.binary()).to_pylist()
+        node = _content(body)
+        rows.append(pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_id"), b.column("__k1"), b.column("__k2"), pa.array(node, pa.binary())], schema=ROW))
+        new = []
+        for t, c in zip(body, node):
+            if c is not None and c not in nodes:
+                nodes[c] = len(nodes)
+                new.append(t)
+        if new:
+            keys.append(band_keys(signatures(*shingles(new))).ravel())
+        texts += new
+        size += sum(map(len, new))
+        if size >= UNIT_BYTES or sum(r.num_rows for r in rows) >= UNIT_ROWS:
+            yield unit()
+            count += 1
+            rows, nodes, texts, keys, size = [], {}, [], [], 0
+    if any(r.num_rows for r in rows):
+        yield unit()
+
+
+def _explode_rows(batches):
+    for b in batches:
+        for unit, body in zip(b.column("unit").to_pylist(), b.column("rows").to_pylist()):
+            t = _read(body)
+            yield from t.append_column("unit", pa.array([unit] * t.num_rows, pa.int64())).to_batches()
 
-    return run
 
+def _split(nodes: bytes) -> list[bytes]:
+    return [nodes[i : i + 16] for i in range(0, len(nodes), 16)]
 
-def _slots(bits: int):
-    def run(batches):
-        for b in batches:
-            slot = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in b.column("body").to_pylist()] or [np.empty(0, np.uint32)]) >> np.uint32(32 - bits))
-            parts = np.split(slot, np.flatnonzero(np.diff(slot >> np.uint32(bloom.CHUNK_BITS))) + 1) if len(slot) else []
-            yield pa.RecordBatch.from_arrays([pa.array([int(p[0] >> np.uint32(bloom.CHUNK_BITS)) for p in parts], pa.int64()), pa.array([(p & np.uint32(0xFFFF)).astype("<u2").tobytes() for p in parts], pa.binary())], ["chunk", "hit"])
+
+def _bands(bits: int):
+    """(band, node, weight) of the band keys that may be repeated; weight counts the node's."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts, maps = right.column("part").to_pylist(), right.column("maybe").to_pylist()
+        out = [pa.table({"band": pa.array([], pa.int64()), "node": pa.array([], pa.binary()), "weight": pa.array([], pa.int64())})]
+        for keys, nodes in zip(left.column("keys").to_pylist(), left.column("nodes").to_pylist()):
+            u = bloom.unpack(keys, np.uint64)
+            m = bloom.marked(u, bits, parts, maps)
+            parent = np.repeat(np.arange(len(nodes) // 16), REGISTERS // BAND)[m]
+            weight = np.bincount(parent, minlength=1)[parent]
+            out.append(pa.table({"band": pa.array(u[m].view(np.int64)), "node": pa.array(_split(nodes), pa.binary()).take(pa.array(parent)), "weight": pa.array(weight, pa.int64())}))
+        return pa.concat_tables(out)
 
     return run
 
 
-def _ranks(batches):
-    counts: dict[int, np.ndarray] = {}
-    for b in batches:
-        for c, hit in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            seen = counts.setdefault(c, np.zeros(1 << bloom.CHUNK_BITS, np.int64))
-            seen += np.bincount(np.frombuffer(hit, "<u2"), minlength=len(seen))
-    for c, seen in counts.items():
-        ranks = np.where(seen == 0, 0, np.minimum(255, 1 + 7 * np.log2(np.maximum(seen, 1)))).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([ranks.tobytes()], pa.binary())], ["chunk", "ranks"])
+BODIES = pa.schema([("unit", pa.int64()), ("nodes", pa.binary()), ("sizes", pa.binary()), ("keys", pa.binary())])
+BODIES_DDL = "unit long, nodes binary, sizes binary, keys binary"
 
 
-def _prefixes(least: float, ranks, bits: int):
-    """Each text's elements that may be the first common one of a pair, with the elements left from
-    there on; short ones may be it in a pair with a text of the same size or a larger one.
-    Elements that occur once are left out."""
+def _bodies(left: pa.Table, right: pa.Table) -> pa.Table:
+    """The multisets of a unit's wanted nodes."""
+    wanted, out = set(right.column("node").to_pylist()), []
+    for unit, nodes, texts in zip(*(left.column(c).to_pylist() for c in ("unit", "nodes", "texts"))):
+        own = [(i, x) for i, x in enumerate(_split(nodes)) if x in wanted]
+        if own:
+            body = elements(*shingles(_read(texts).column("text").take([i for i, _ in own]).to_pylist()))
+            out.append((unit, b"".join(x for _, x in own), bloom.pack(np.array([len(e) for e in body], np.uint32)), bloom.pack(np.concatenate(body))))
+    return pa.Table.from_batches([pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(BODIES)], schema=BODIES)])
 
-    def run(batches):
-        rank = np.frombuffer(ranks.value, np.uint8)
-        for b in batches:
-            out = [[], [], [], []]
-            for i, x in enumerate(b.column("body").to_pylist()):
-                e = np.frombuffer(x, np.uint32)
-                r = rank[e >> np.uint32(32 - bits)]
+
+def _cut(b, i):
+    """Nodes of row i of a bodies batch with their element arrays."""
+    ends = np.cumsum(bloom.unpack(b.column("sizes")[i].as_py(), np.uint32))
+    return _split(b.column("nodes")[i].as_py()), np.split(bloom.unpack(b.column("keys")[i].as_py(), np.uint64), ends[:-1])
+
+
+def _explode_bodies(batches):
+    for b in batches:
+        for i in range(b.num_rows):
+            nodes, body = _cut(b, i)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array([e.tobytes() for e in body], pa.binary())], ["node", "body"])
+
+
+def _prefixes(least: float, bits: int):
+    """Each crowded text's elements that may be the first common one of a pair, with the elements
+    left from there on; short ones may be it in a pair with a text of the same size or a larger
+    one.  Elements that occur once are left out."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts, maps = right.column("part").to_pylist(), right.column("maybe").to_pylist()
+        out = [[], [], [], []]
+        names: list[bytes] = []
+        for i in range(left.num_rows):
+            nodes, body = _cut(left, i)
+            rank = np.split(bloom.marked(np.concatenate(body), bits, parts, maps, True), np.cumsum([len(e) for e in body])[:-1])
+            for node, e, r in zip(nodes, body, rank):
                 order = np.lexsort((e, r))[: int((1 - least) * len(e) + 1e-6) + 1]
                 at = np.flatnonzero(r[order] > 1)
-                for o, v in zip(out, (e[order[at]].astype(np.int64), np.full(len(at), i), np.full(len(at), len(e)), len(e) - at)):
+                for o, v in zip(out, (e[order[at]].view(np.int64), np.full(len(at), len(names)), np.full(len(at), len(e)), len(e) - at)):
                     o.append(v)
-            token, i, size, left = (np.concatenate(o) if o else np.empty(0, np.int64) for o in out)
-            short = left >= size * (2 * least / (1 + least)) - 1e-6
-            yield pa.RecordBatch.from_arrays([pa.array(token), b.column("node").take(pa.array(i)), pa.array(size), pa.array(left), pa.array(short)], ["token", "node", "size", "left", "short"])
+                names.append(node)
+        token, i, size, rest = (np.concatenate(o) if o else np.empty(0, np.int64) for o in out)
+        short = rest >= size * (2 * least / (1 + least)) - 1e-6
+        return pa.table({"token": pa.array(token), "node": pa.array(names, pa.binary()).take(pa.array(i)), "size": pa.array(size), "left": pa.array(rest), "short": pa.array(short)})
 
     return run
 
@@ -229,20 +272,21 @@ def _prefixes(least: float, ranks, bits: int):
 def _verify(least: float):
     def run(batches):
         for b in batches:
-            ok = [similarity(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) >= least for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]
+            ok = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
     return run
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label) for links(a, b): the smallest node of each connected component."""
+    """(node, label) for links(a, b): the smallest node of each connected component.  A round
+    takes each node's least label among its neighbours, then that node's own label."""
     edges = written(links.select("a", "b").union(links.select("b", "a")).union(links.select("a", F.col("a").alias("b"))).union(links.select("b", F.col("b").alias("a"))).distinct())
     labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")))
     while True:
-        near = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("mid"), F.max(F.when(F.col("a") == F.col("b"), F.col("label"))).alias("old"))
+        near = spread_join(edges, labels.select(F.col("node").alias("b"), "label"), "b", "a").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("mid"), F.max(F.when(F.col("a") == F.col("b"), F.col("label"))).alias("old"))
         jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
-        new = written(near.join(jump, "mid", "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("label")))
+        new = written(spread_join(near, jump, "mid", "node", "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("label")))
         labels = new.select("node", "label")
         if new.where("label <> old").isEmpty():
             return labels
@@ -253,7 +297,8 @@ def crowded(rows: DataFrame) -> DataFrame:
     pivots: of the nodes in each of PIVOTS hash classes the one with most shared bands."""
     kind = F.pmod(F.xxhash64("node"), F.lit(PIVOTS))
     tops = {f"p{i}": F.max(F.when(kind == i, F.struct("weight", "node"))) for i in range(PIVOTS)}
-    out = attach(rows, ["band"], {"n": F.count("*"), **tops}, {"n": F.sum("n"), **{k: F.max(k).alias(k) for k in tops}}, "node").where("n > 1")
+    once = rows.groupBy("band", "node").agg(F.max("weight").alias("weight"))
+    out = attach(once, ["band"], {"n": F.count("*"), **tops}, {"n": F.sum("n"), **{k: F.max(k).alias(k) for k in tops}}, "node").where("n > 1")
     return written(out.select("band", "node", "n", F.filter(F.array(*[F.col(f"{k}.node") for k in tops]), lambda p: p.isNotNull()).alias("pivots")))
 
 
@@ -265,29 +310,17 @@ def candidate_pairs(rows: DataFrame) -> DataFrame:
     return pairs.union(star.select(F.least("node", "pivot"), F.greatest("node", "pivot"))).distinct()
 
 
-def rarity(bodies: DataFrame):
-    """A broadcast of one byte for each of 2 ** bits element slots, a rank of how often the
-    slot occurs (0 never, 1 once), and bits: at most 64 MB, whatever the rows."""
-    spark = bodies.sparkSession
-    size = bodies.agg(F.sum(F.length("body"))).first()[0] or 0
-    bits = bloom.filter_bits(size // 4, 4, 26)
-    parts = min(shuffle_partitions(spark), 1 << (bits - bloom.CHUNK_BITS))
-    merged = bodies.select("body").mapInArrow(_slots(bits), bloom.HITS).repartition(parts, "chunk").mapInArrow(_ranks, "chunk long, ranks binary")
-    ranks = bytearray(1 << bits)
-    for r in merged.toLocalIterator():
-        at = r.chunk << bloom.CHUNK_BITS
-        ranks[at : at + len(r.ranks)] = r.ranks
-    return spark.sparkContext.broadcast(bytes(ranks)), bits
-
-
 def prefix_pairs(bodies: DataFrame, labels: DataFrame, least: float) -> DataFrame:
-    """Distinct pairs (a, b) of bodies(node, body) that may be alike and are of different classes by
-    labels(node, label), without a miss: with elements from rare to frequent, two texts of x and y
-    elements that share least / (1 + least) * (x + y) have their first common element while at
-    least as many are left in both.  A node without a label is a class of its own."""
-    bodies = written(bodies)
-    ranks, bits = rarity(bodies)
-    rows = bodies.mapInArrow(_prefixes(least, ranks, bits), "token long, node binary, size long, left long, short boolean")
+    """Distinct pairs (a, b) of bodies(unit, nodes, sizes, keys) that may be alike and are of
+    different classes by labels(node, label), without a miss: with elements from rare to
+    frequent, two texts of x and y elements that share least / (1 + least) * (x + y) have their
+    first common element while at least as many are left in both.  A node without a label is a
+    class of its own.  The order of elements comes from their counts over all bodies, taken in parts."""
+    spark = bodies.sparkSession
+    total = bodies.agg(F.sum(F.length("keys"))).first()[0] or 0
+    bits = bloom.part_bits(total // 6, shuffle_partitions(spark))  # a packed element takes some 8 bytes
+    rank = bloom.answers(bodies, bits, rank=True)
+    rows = bodies.groupBy("unit").cogroup(rank.groupBy("unit")).applyInArrow(_prefixes(least, bits), "token long, node binary, size long, left long, short boolean")
     rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rows = written(attach(rows, ["token"], {"low": F.min("label"), "high": F.max("label")}, {"low": F.min("low"), "high": F.max("high")}, "node").where("low <> high").drop("low", "high"))
     # Classes meet first, so that the rows of a class are never paired with each other.
@@ -300,47 +333,53 @@ def prefix_pairs(bodies: DataFrame, labels: DataFrame, least: float) -> DataFram
     return pairs.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
 
 
-def near_links(signed: DataFrame, texts: DataFrame, least: float = THRESHOLD) -> DataFrame:
-    """Verified links (a, b) between the distinct texts of signed(node, bands)."""
-    nodes = written(signed.where("node is not null").groupBy("node").agg(F.first("bands").alias("bands")))
-    n = nodes.count()
-    bits = bloom.filter_bits(n * (REGISTERS // BAND), 8, 28)
-    filt = bloom.twice_filter(nodes.mapInArrow(_keys("hit", bits), bloom.HITS), bits)
-    rows = crowded(nodes.mapInArrow(_keys("rows", bits, filt), "band long, node binary, weight long"))
-    wanted = bloom.twice_filter(rows.select("node").mapInArrow(_wanted(bits), bloom.HITS), bits)
-    bodies = written(texts.select("text").mapInArrow(_bodies(bits, wanted), "node binary, body binary").groupBy("node").agg(F.first("body").alias("body")))
-    xs, ys = bodies.select(F.col("node").alias("a"), F.col("body").alias("x")), bodies.select(F.col("node").alias("b"), F.col("body").alias("y"))
-    verified = lambda p: written(p.join(xs, "a").join(ys, "b").mapInArrow(_verify(least), "a binary, b binary, ok boolean").where("ok").select("a", "b"))
+def near_links(units: DataFrame, first: DataFrame, least: float = THRESHOLD) -> DataFrame:
+    """Verified links (a, b) between the distinct texts of units; first(node, unit) places them."""
+    spark = units.sparkSession
+    parts = shuffle_partitions(spark)
+    n = units.agg(F.sum("n")).first()[0] or 0
+    bits = bloom.part_bits(n * (REGISTERS // BAND), parts)
+    keys = units.select("unit", "keys", "nodes")
+    rows = crowded(keys.groupBy("unit").cogroup(bloom.answers(units, bits).groupBy("unit")).applyInArrow(_bands(bits), "band long, node binary, weight long"))
+
+    def bodies_of(nodes: DataFrame) -> DataFrame:
+        wanted = nodes.select("node").distinct().join(first.select("node", "unit"), "node")
+        return written(units.select("unit", "nodes", "texts").groupBy("unit").cogroup(wanted.groupBy("unit")).applyInArrow(_bodies, BODIES_DDL), bucket_by="unit", buckets=parts)
 
+    bodies = bodies_of(rows)
+    flat = written(bodies.mapInArrow(_explode_bodies, "node binary, body binary"))
+    xs, ys = flat.select(F.col("node").alias("a"), F.col("body").alias("x")), flat.select(F.col("node").alias("b"), F.col("body").alias("y"))
+    verified = lambda p: written(spread_join(spread_join(p, xs, "a", "b"), ys, "b", "a").select("a", "b", "x", "y").mapInArrow(_verify(least), "a binary, b binary, ok boolean").where("ok").select("a", "b"))
     links = verified(candidate_pairs(rows))
-    crowd = rows.where(F.col("n") > SMALL).select("node").distinct()
-    return links.union(verified(prefix_pairs(bodies.join(crowd, "node"), components(links), least)))
+    crowd = rows.where(F.col("n") > SMALL)
+    if crowd.isEmpty():
+        return links
+    return links.union(verified(prefix_pairs(bodies_of(crowd), components(links), least)))
 
 
 def near_classes(docs: DataFrame, least: float = THRESHOLD) -> DataFrame:
-    """doc_id, row_id, th, class_id, n_links, kept of each row of docs(doc_id, text)."""
+    """doc_id, row_id, __k1, __k2, class_id, n_links, kept of each row of docs(doc_id, text)."""
     spark = docs.sparkSession
     small_batches(spark, 2)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = written(rows.withColumns({"row_id": F.monotonically_increasing_id(), "th": F.xxhash64("text")}).mapInArrow(_sign, "doc_id long, row_id long, th long, node binary, bands array<long>"))
-    links = written(near_links(signed, rows, least))
-    first = signed.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")).alias("first"))
-    first = written(first)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[c.alias(k) for k, c in row_key().items()]).withColumn("row_id", F.monotonically_increasing_id())
+    units = written(rows.mapInArrow(_units, "unit long, n long, keys binary, nodes binary, rows binary, texts binary"), bucket_by="unit", buckets=shuffle_partitions(spark))
+    signed = written(units.select("unit", "rows").mapInArrow(_explode_rows, ROW_DDL + ", unit long"))
+    some = signed.where("node is not null")
+    first = written(some.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")).alias("first"), F.min("unit").alias("unit")))
+    links = written(near_links(units, first, least))
     degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    linked = first.join(components(links), "node").join(degree, "node")
+    linked = first.select("node", "first").join(components(links), "node").join(degree, "node")
     heads = attach(linked, ["label"], {"head": F.min("first")}, {"head": F.min("head")}, "node").select("node", "head", "n_links")
-    classes = written(first.join(heads, "node", "left").select("node", F.coalesce("head", "first").alias("head"), "n_links"))
-    out = signed.join(classes, "node", "left")
-    return out.select("doc_id", "row_id", "th", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("node").isNull() | (F.col("row_id") == F.col("head.row_id"))).alias("kept"))
+    classes = written(first.join(heads, "node", "left").select("node", F.coalesce("head", "first").alias("head"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    cols = ["doc_id", "row_id", "__k1", "__k2"]
+    found = spread_join(some, classes, "node", "row_id").select(*cols, F.col("head.doc_id").alias("class_id"), "n_links", (F.col("row_id") == F.col("head.row_id")).alias("kept"))
+    alone = signed.where("node is null").select(*cols, F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
+    return found.unionByName(alone)
 
 
 def near_dedup(docs: DataFrame, least: float = THRESHOLD) -> DataFrame:
-    """The rows of docs (all columns) that stay: one of each class."""
-    lost = near_classes(docs, least).where("not kept").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("class_id").alias("__class"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.xxhash64("text").eqNullSafe(F.col("__th"))
-    rest = docs.join(lost.where("not (__id <=> __class)"), same, "left_anti")
-    ties = lost.where("__id <=> __class").dropDuplicates(["__id", "__th"])
-    return rest.join(ties, same, "left_anti").unionByName(rest.join(ties, same, "left_semi").withColumn("__th0", F.xxhash64("text")).dropDuplicates(["doc_id", "__th0"]).drop("__th0"))
+    """The rows of docs (all columns) that stay: one of each class; texts are never shuffled."""
+    return keep_rows(docs, near_classes(docs, least).select("__k1", "__k2", "kept"))
 
 
 def op5_bagminhash(spark, sf_dir: str) -> DataFrame:

@@ -31,7 +31,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -39,18 +38,11 @@ from pyspark.sql import functions as F
 
 from textloom.llm import bloom
 from textloom.llm.common import shuffle_partitions, small_batches, table
+from textloom.llm.words import U, mix, parse
 
 WINDOW = 13
 ROUNDS = 3
 FAR = 1 << 30
-U = np.uint64
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """The splitmix64 finaliser."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
 
 
 def symbols(word: np.ndarray, doc: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,26 +106,6 @@ def windows(word: np.ndarray, doc: np.ndarray, k: int = WINDOW) -> tuple[np.ndar
     return start, f[start], anchor[start]
 
 
-_WORDS: dict[bytes, int] = {}
-
-
-def _parse(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of a batch of texts, the row of each, and each row's first word."""
-    known, digest = _WORDS, xxhash.xxh3_64_intdigest
-    if len(known) > 200_000:  # bounds the memory of a Python worker
-        known.clear()
-    parts = []
-    for t in texts:
-        split = (t or b"").split()
-        for w in set(split):
-            if w not in known:
-                known[w] = digest(w)
-        parts.append(np.fromiter(map(known.__getitem__, split), np.uint64, len(split)))
-    sizes = np.array([len(p) for p in parts], np.int64)
-    word = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-    return word, np.repeat(np.arange(len(parts), dtype=np.int32), sizes), np.concatenate([[0], np.cumsum(sizes)])[:-1].astype(np.int64)
-
-
 def pack64(a: np.ndarray) -> bytes:
     planes = np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T)
     return zstandard.ZstdCompressor(level=1).compress(bytes([a.itemsize]) + planes.tobytes())
@@ -147,7 +119,7 @@ def unpack64(b: bytes, dtype) -> np.ndarray:
 def _anchors(bits: int):
     def run(batches):
         for b in batches:
-            word, doc, _ = _parse(b.column("text").cast(pa.binary()).to_pylist())
+            word, doc, _ = parse(b.column("text").cast(pa.binary()).to_pylist())
             start, _, anchor = windows(word, doc)
             if len(start):
                 own = doc[start]
@@ -177,7 +149,7 @@ def _send(bits: int, filt, parts: int):
             if not b.num_rows:
                 continue
             unit, count = (task << 32) + count, count + 1
-            word, row, first = _parse(b.column("text").cast(pa.binary()).to_pylist())
+            word, row, first = parse(b.column("text").cast(pa.binary()).to_pylist())
             ids = b.column("doc_id")
             known = np.asarray(ids.is_valid())
             doc_id = ids.fill_null(0).to_numpy(zero_copy_only=False)
