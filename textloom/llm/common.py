@@ -12,6 +12,8 @@ from textloom.sources.shared import read_table, written  # noqa: F401
 WORD = r"[^\x20\x09-\x0D]+"
 #: Row keys up to which a set of them is broadcast (16 bytes each); larger sets join by shuffle.
 BROADCAST_KEYS = 1_000_000
+#: Rows of a join key from which it is split.
+HOT_ROWS = 2_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,11 +47,20 @@ def attach(rows: DataFrame, keys: list[str], partial: dict[str, Column], final:
 
 
 def spread_join(rows: DataFrame, side: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
-    """rows joined with side, which has one row a key.  Rows of a key are split by a salt drawn
-    from column ``by``, and side is copied to the salts that its key has, so that no hot key is
-    one task's."""
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(max(16, shuffle_partitions(rows.sparkSession)))))
-    copies = salted.select(key, "__salt").distinct().join(side, key)
+    """rows (a written table, as it is read twice) joined with side, which has one row a key.
+
+    Keys with more than ``HOT_ROWS`` rows are split by a salt drawn from column ``by``, and
+    their row of side is copied once for each ``HOT_ROWS`` rows, so that no key is one task's."""
+    most = max(16, shuffle_partitions(rows.sparkSession))
+    hot = rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > HOT_ROWS)
+    hot = written(hot.select(key, F.least(F.ceil(F.col("__n") / HOT_ROWS), F.lit(most)).cast("int").alias("__n")))
+    n = hot.count()
+    if n == 0:
+        return rows.join(side, key, how)
+    hot = F.broadcast(hot) if n <= BROADCAST_KEYS else hot
+    cut = F.coalesce("__n", F.lit(1))
+    salted = rows.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(by), cut)).drop("__n")
+    copies = side.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), cut - 1)).cast("long")).drop("__n")
     return salted.join(copies, [key, "__salt"], how).drop("__salt")
 
 

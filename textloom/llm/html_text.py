@@ -283,7 +283,8 @@ def _ranges(keyed: DataFrame) -> DataFrame:
     """keyed with its range, dealt and sorted; pages beside a range's ends also in the next one
     of their host, where own is false."""
     spark = keyed.sparkSession
-    parts, n = shuffle_partitions(spark), keyed.count()
+    tasks, n = shuffle_partitions(spark), keyed.count()
+    parts = 8 * tasks  # ranges, so that hashing them deals tasks even shares
     every = max(1, n // (parts * RANGE_SAMPLE))
     keys = keyed.select(F.struct(*KEY).alias("key"))
     sample = sorted((tuple(r.key) for r in keys.where(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).limit(4 * parts * RANGE_SAMPLE).collect()), key=lambda k: (k[0], k[1], k[2] is not None, k[2] or 0))
@@ -301,7 +302,7 @@ def _ranges(keyed: DataFrame) -> DataFrame:
     home = F.struct(F.col("range").alias("to"), F.lit(True).alias("own"))
     away = F.transform(F.coalesce("guests", F.array().cast("array<int>")), lambda g: F.struct(g.alias("to"), F.lit(False).alias("own")))
     rows = sent.select("page_id", "url", "html", "host", "path", F.explode(F.concat(F.array(home), away)).alias("s")).select("*", "s.*").withColumn("run", F.concat_ws(" ", "to", "host")).drop("s")
-    return rows.repartition(parts, "to").sortWithinPartitions("to", *KEY)
+    return rows.repartition(tasks, "to").sortWithinPartitions("to", *KEY)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -284,7 +284,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(links.select("a", "b").union(links.select("b", "a")).union(links.select("a", F.col("a").alias("b"))).union(links.select("b", F.col("b").alias("a"))).distinct())
     labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")))
     while True:
-        near = spread_join(edges, labels.select(F.col("node").alias("b"), "label"), "b", "a").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("mid"), F.max(F.when(F.col("a") == F.col("b"), F.col("label"))).alias("old"))
+        near = written(spread_join(edges, labels.select(F.col("node").alias("b"), "label"), "b", "a").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("mid"), F.max(F.when(F.col("a") == F.col("b"), F.col("label"))).alias("old")))
         jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
         new = written(spread_join(near, jump, "mid", "node", "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("label")))
         labels = new.select("node", "label")
@@ -323,13 +323,19 @@ def prefix_pairs(bodies: DataFrame, labels: DataFrame, least: float) -> DataFram
     rows = bodies.groupBy("unit").cogroup(rank.groupBy("unit")).applyInArrow(_prefixes(least, bits), "token long, node binary, size long, left long, short boolean")
     rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rows = written(attach(rows, ["token"], {"low": F.min("label"), "high": F.max("label")}, {"low": F.min("low"), "high": F.max("high")}, "node").where("low <> high").drop("low", "high"))
-    # Classes meet first, so that the rows of a class are never paired with each other.
-    mine = rows.where("short").select("token", F.col("label").alias("label1")).distinct()
-    meet = mine.join(rows.select("token", F.col("label").alias("label2")).distinct(), "token").where("label1 <> label2")
-    side = lambda s: rows.select("token", *[F.col(c).alias(c + s) for c in ("label", "node", "size", "left", "short")])
-    need = (F.col("size1") + F.col("size2")) * (least / (1 + least)) - 1e-6
-    may = (F.col("size1") <= F.col("size2")) & (F.col("left1") >= need) & (F.col("left2") >= need)
-    pairs = meet.join(side("1").where("short1"), ["token", "label1"]).join(side("2"), ["token", "label2"]).where(may)
+    # Classes meet first, so that the rows of a class are never paired with each other, and only
+    # where their extremes allow a pair: what is left of a text beyond its own share of the need
+    # must cover the other's share.
+    c = least / (1 + least)
+    rows = rows.withColumn("spare", F.col("left") - F.col("size") * c + 1e-6)
+    per = rows.groupBy("token", "label").agg(F.max(F.when(F.col("short"), F.col("spare"))).alias("spare1"), F.min("size").alias("least"), F.max("size").alias("most"), F.max("spare").alias("spare2"))
+    own = per.where("spare1 is not null").select("token", F.col("label").alias("label1"), "spare1", F.col("least").alias("least1"))
+    other = per.select("token", F.col("label").alias("label2"), "spare2", F.col("least").alias("least2"), F.col("most").alias("most2"))
+    meet = own.join(other, "token").where((F.col("label1") != F.col("label2")) & (F.col("least1") <= F.col("most2")) & (F.col("spare1") >= F.col("least2") * c) & (F.col("spare2") >= F.col("least1") * c))
+    side = lambda s: rows.select("token", *[F.col(x).alias(x + s) for x in ("label", "node", "size", "spare", "short")])
+    first = meet.join(side("1").withColumnRenamed("spare1", "own1").where("short1"), ["token", "label1"]).where((F.col("size1") <= F.col("most2")) & (F.col("own1") >= F.col("least2") * c) & (F.col("spare2") >= F.col("size1") * c))
+    last = side("2").withColumnRenamed("spare2", "own2")
+    pairs = first.join(last, ["token", "label2"]).where((F.col("size1") <= F.col("size2")) & (F.col("own1") >= F.col("size2") * c) & (F.col("own2") >= F.col("size1") * c))
     return pairs.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
 
 
@@ -349,7 +355,11 @@ def near_links(units: DataFrame, first: DataFrame, least: float = THRESHOLD) ->
     bodies = bodies_of(rows)
     flat = written(bodies.mapInArrow(_explode_bodies, "node binary, body binary"))
     xs, ys = flat.select(F.col("node").alias("a"), F.col("body").alias("x")), flat.select(F.col("node").alias("b"), F.col("body").alias("y"))
-    verified = lambda p: written(spread_join(spread_join(p, xs, "a", "b"), ys, "b", "a").select("a", "b", "x", "y").mapInArrow(_verify(least), "a binary, b binary, ok boolean").where("ok").select("a", "b"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        half = written(spread_join(written(pairs), xs, "a", "b"))
+        return written(spread_join(half, ys, "b", "a").select("a", "b", "x", "y").mapInArrow(_verify(least), "a binary, b binary, ok boolean").where("ok").select("a", "b"))
+
     links = verified(candidate_pairs(rows))
     crowd = rows.where(F.col("n") > SMALL)
     if crowd.isEmpty():
