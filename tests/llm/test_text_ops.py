@@ -230,6 +230,14 @@ def test_near_copies_that_share_a_passage_with_many(spark):
     assert classes_of(spark, rows) == want
 
 
+def test_hot_keys_are_split(spark, monkeypatch):
+    from textloom.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rows = passage_docs(60, 160, 27, 20, 3)
+    assert classes_of(spark, rows) == sorted(map(sorted, exact_classes(rows).values()))
+
+
 def test_groups_of_near_copies_and_links_between_groups(spark):
     rng = np.random.default_rng(8)
     w = lambda n: [f"v{x}" for x in rng.integers(0, 10**9, n)]

@@ -46,13 +46,14 @@ def attach(rows: DataFrame, keys: list[str], partial: dict[str, Column], final:
     return salted.join(by_salt, [*keys, "__salt"]).drop("__salt")
 
 
-def spread_join(rows: DataFrame, side: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
-    """rows (a written table, as it is read twice) joined with side, which has one row a key.
+def spread_join(rows: DataFrame, side: DataFrame, key: str, by: str, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
+    """rows joined with side, which has one row a key.  ``counted`` is a written table with the
+    keys of rows, by default rows itself.
 
     Keys with more than ``HOT_ROWS`` rows are split by a salt drawn from column ``by``, and
     their row of side is copied once for each ``HOT_ROWS`` rows, so that no key is one task's."""
     most = max(16, shuffle_partitions(rows.sparkSession))
-    hot = rows.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > HOT_ROWS)
+    hot = (rows if counted is None else counted).groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > HOT_ROWS)
     hot = written(hot.select(key, F.least(F.ceil(F.col("__n") / HOT_ROWS), F.lit(most)).cast("int").alias("__n")))
     n = hot.count()
     if n == 0:
@@ -60,7 +61,7 @@ def spread_join(rows: DataFrame, side: DataFrame, key: str, by: str, how: str =
     hot = F.broadcast(hot) if n <= BROADCAST_KEYS else hot
     cut = F.coalesce("__n", F.lit(1))
     salted = rows.join(hot, key, "left").withColumn("__salt", F.pmod(F.xxhash64(by), cut)).drop("__n")
-    copies = side.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), cut - 1)).cast("long")).drop("__n")
+    copies = side.join(hot, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), cut - 1).cast("array<bigint>"))).drop("__n")
     return salted.join(copies, [key, "__salt"], how).drop("__salt")
 
 

@@ -357,8 +357,9 @@ def near_links(units: DataFrame, first: DataFrame, least: float = THRESHOLD) ->
     xs, ys = flat.select(F.col("node").alias("a"), F.col("body").alias("x")), flat.select(F.col("node").alias("b"), F.col("body").alias("y"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        half = written(spread_join(written(pairs), xs, "a", "b"))
-        return written(spread_join(half, ys, "b", "a").select("a", "b", "x", "y").mapInArrow(_verify(least), "a binary, b binary, ok boolean").where("ok").select("a", "b"))
+        pairs = written(pairs)
+        half = spread_join(pairs, xs, "a", "b")
+        return written(spread_join(half, ys, "b", "a", counted=pairs).select("a", "b", "x", "y").mapInArrow(_verify(least), "a binary, b binary, ok boolean").where("ok").select("a", "b"))
 
     links = verified(candidate_pairs(rows))
     crowd = rows.where(F.col("n") > SMALL)
