@@ -339,8 +339,9 @@ def prefix_pairs(bodies: DataFrame, labels: DataFrame, least: float) -> DataFram
     return pairs.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
 
 
-def near_links(units: DataFrame, first: DataFrame, least: float = THRESHOLD) -> DataFrame:
-    """Verified links (a, b) between the distinct texts of units; first(node, unit) places them."""
+def near_links(units: DataFrame, first: DataFrame, least: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(links, labels): verified links (a, b) between the distinct texts of units, and (node,
+    label) of the linked ones' components; first(node, unit) places the texts."""
     spark = units.sparkSession
     parts = shuffle_partitions(spark)
     n = units.agg(F.sum("n")).first()[0] or 0
@@ -362,10 +363,18 @@ def near_links(units: DataFrame, first: DataFrame, least: float = THRESHOLD) ->
         return written(spread_join(half, ys, "b", "a", counted=pairs).select("a", "b", "x", "y").mapInArrow(_verify(least), "a binary, b binary, ok boolean").where("ok").select("a", "b"))
 
     links = verified(candidate_pairs(rows))
+    labels = components(links)
     crowd = rows.where(F.col("n") > SMALL)
     if crowd.isEmpty():
-        return links
-    return links.union(verified(prefix_pairs(bodies_of(crowd), components(links), least)))
+        return links, labels
+    more = verified(prefix_pairs(bodies_of(crowd), labels, least))
+    # The new links join whole classes: components of classes, one edge for each pair of them.
+    named = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(c + "_label"))
+    between = more.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")).distinct()
+    joined = components(between).select(F.col("node").alias("old"), F.col("label").alias("new"))
+    alone = joined.join(labels, F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("label"))
+    again = spread_join(labels, joined.withColumnRenamed("old", "label"), "label", "node", "left").select("node", F.coalesce("new", "label").alias("label"))
+    return links.union(more), again.union(alone)
 
 
 def near_classes(docs: DataFrame, least: float = THRESHOLD) -> DataFrame:
@@ -377,9 +386,9 @@ def near_classes(docs: DataFrame, least: float = THRESHOLD) -> DataFrame:
     signed = written(units.select("unit", "rows").mapInArrow(_explode_rows, ROW_DDL + ", unit long"))
     some = signed.where("node is not null")
     first = written(some.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")).alias("first"), F.min("unit").alias("unit")))
-    links = written(near_links(units, first, least))
+    links, labels = near_links(units, first, least)
     degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
-    linked = first.select("node", "first").join(components(links), "node").join(degree, "node")
+    linked = first.select("node", "first").join(labels, "node").join(degree, "node")
     heads = attach(linked, ["label"], {"head": F.min("first")}, {"head": F.min("head")}, "node").select("node", "head", "n_links")
     classes = written(first.join(heads, "node", "left").select("node", F.coalesce("head", "first").alias("head"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
     cols = ["doc_id", "row_id", "__k1", "__k2"]
