@@ -102,8 +102,40 @@ def test_symbols_depend_on_their_context_only():
     base = rng.integers(0, 6, 400).astype(np.uint64)
     a = np.concatenate([rng.integers(0, 6, 50).astype(np.uint64), base])
     b = np.concatenate([rng.integers(0, 6, 77).astype(np.uint64), base, rng.integers(0, 6, 9).astype(np.uint64)])
-    fa, fb = (dict(zip(*(x.tolist() for x in (s, anchor)))) for s, _, anchor in (substring_dedup.windows(substring_dedup.mix(w), np.zeros(len(w), np.int32)) for w in (a, b)))
-    assert all(fa[50 + i] == fb[77 + i] for i in range(388))
+
+    def by_start(w):
+        word, doc = substring_dedup.mix(w), np.zeros(len(w), np.int32)
+        start = substring_dedup.starts_of(doc)
+        return substring_dedup.anchors(word, doc, start, substring_dedup.Prints(word))
+
+    assert (by_start(a)[50:438] == by_start(b)[77:465]).all()
+
+
+def test_high_symbols_of_equal_passages_and_prints():
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 2**63, 3000).astype(np.uint64)
+    a, b = (np.concatenate([rng.integers(0, 2**63, k).astype(np.uint64), base]) for k in (41, 77))
+    found = [{(lo - k, hi - k) for lo, hi in zip(*(x.tolist() for x in substring_dedup.high_symbols(w, np.zeros(len(w), np.int32)))) if lo >= k + 300 and hi < k + 2700} for w, k in ((a, 41), (b, 77))]
+    assert found[0] == found[1] and len(found[0]) > 60 and max(hi - lo for lo, hi in found[0]) > 80
+    pa_, pb = substring_dedup.Prints(a), substring_dedup.Prints(b)
+    lo = np.arange(0, 2900)
+    assert all((x == y).all() for x, y in zip(pa_.of(lo + 41, lo + 60), pb.of(lo + 77, lo + 96)))
+    assert len(set(zip(*(x.tolist() for x in pa_.of(lo, lo + 13))))) == len(lo)
+
+
+def test_long_repeats_are_found_by_symbols(spark, monkeypatch):
+    """High symbols decide most words of long repeats; without them all windows give the same result."""
+    rng = np.random.default_rng(12)
+    texts = [[f"w{x}" for x in rng.integers(0, 400, 900)] for _ in range(6)]
+    texts += [t[:k] + ["changed"] + t[k + 1 :] for t, k in zip(texts, rng.integers(100, 800, 6).tolist())] + [texts[0][200:700]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    cols = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+    out = substring_dedup.substring_dedup(docs).collect()
+    removed = sum(r.n_removed for r in out)
+    assert removed > 5000 and sum(r.n_by_symbol for r in out) > 0.8 * removed
+    monkeypatch.setattr(substring_dedup, "ITEMS", 50)
+    plain = substring_dedup.substring_dedup(docs, ladder=())
+    assert multiset(plain, *cols) == Counter(tuple(r[c] for c in cols) for r in out) and plain.agg(F.max("n_by_symbol")).first()[0] == 0
 
 
 def five_words(t):
