@@ -52,7 +52,7 @@ ROUNDS = 3
 LADDER = (10, 15)
 FAR = 1 << 30
 #: Text bytes and rows of a unit; entries that a part settles at a time.
-UNIT_BYTES, UNIT_ROWS = 8 << 20, 20_000
+UNIT_BYTES, UNIT_ROWS = 4 << 20, 20_000
 ITEMS = 300_000
 GOLD = U(0x9E3779B97F4A7C15)
 BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
