@@ -16,6 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from textloom.llm.common import shuffle_partitions
+from textloom.llm.words import trim
 
 KEYS = 500_000
 PER = 16
@@ -45,12 +46,18 @@ def _runs(part: np.ndarray):
     return zip(np.append(0, cut).tolist(), np.append(cut, len(part)).tolist()) if len(part) else ()
 
 
-def _split(bits: int):
+def pack_sorted(u: np.ndarray, drop: int = 16) -> bytes:
+    """Keys sorted and without their last bits, as differences: about three bytes a key.  The
+    filter reads a part's leading bits and 32 more, so up to 2 ** 16 parts nothing changes."""
+    return pack(np.diff(np.sort(u >> U(drop)), prepend=U(0)))
+
+
+def _split(bits: int, drop: int | None):
     def run(batches):
         for b in batches:
             rows: list[tuple] = []
             for unit, body in zip(b.column("unit").to_pylist(), b.column("keys").to_pylist()):
-                u = np.sort(unpack(body, U))
+                u = np.sort(unpack(body, U)) if drop is None else np.cumsum(unpack(body, U), dtype=U) << U(drop)
                 part, rest = (u >> U(64 - bits)).astype(np.int32), (u >> U(32 - bits)).astype(np.uint32)
                 rows += [(int(part[i]), unit, pack(np.diff(rest[i:j], prepend=np.uint32(0)))) for i, j in _runs(part)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], ["part", "unit", "hits"])
@@ -100,16 +107,19 @@ def _counts(batches, rank: bool):
 
 def _count(batches):
     yield from _counts(batches, False)
+    trim()
 
 
 def _rank(batches):
     yield from _counts(batches, True)
+    trim()
 
 
-def answers(units: DataFrame, bits: int, rank: bool = False) -> DataFrame:
+def answers(units: DataFrame, bits: int, rank: bool = False, drop: int | None = None) -> DataFrame:
     """(unit, part, maybe) for units(unit, keys: packed uint64): bitmaps over the unit's sorted
-    keys, or with rank a byte a key that says how frequent it is."""
-    sent = units.select("unit", "keys").mapInArrow(_split(bits), "part int, unit long, hits binary")
+    keys, or with rank a byte a key that says how frequent it is.  With drop, keys are those of
+    ``pack_sorted``."""
+    sent = units.select("unit", "keys").mapInArrow(_split(bits, drop), "part int, unit long, hits binary")
     return sent.repartition(shuffle_partitions(units.sparkSession), "part").sortWithinPartitions("part").mapInArrow(_rank if rank else _count, "unit long, part int, maybe binary")
 
 

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import bloom
 from textloom.llm.common import shuffle_partitions, small_batches, table, written
-from textloom.llm.words import U, mix
+from textloom.llm.words import U, mix, trim
 
 WINDOW = 13
 ROUNDS = 3
@@ -206,9 +206,10 @@ def _write_units(batches):
         start = starts_of(row)
         anchor = anchors(word, row, start, Prints(word))
         anchor = anchor[_changed(anchor, row[start])]
-        # The filter reads the leading 40 bits or so; sorted, these are packed in three bytes.
-        keys = bloom.pack(np.diff(np.sort(anchor >> U(16)), prepend=U(0)))
-        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([(task << 32) + count, len(anchor), keys, *body], _UNIT)], ["unit", "n", "keys", "words", "codes", "sizes", "ids"])
+        keys, n = bloom.pack_sorted(anchor), len(anchor)
+        del word, row, start, anchor
+        trim()
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([(task << 32) + count, n, keys, *body], _UNIT)], ["unit", "n", "keys", "words", "codes", "sizes", "ids"])
 
     for b in batches:
         for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()):
@@ -223,13 +224,6 @@ def _write_units(batches):
         yield unit()
 
 
-def _full_keys(batches):
-    """Packed keys as the filter takes them."""
-    for b in batches:
-        for unit, keys in zip(b.column("unit").to_pylist(), b.column("keys").to_pylist()):
-            yield pa.RecordBatch.from_arrays([pa.array([unit]), pa.array([bloom.pack(np.cumsum(bloom.unpack(keys, np.uint64), dtype=np.uint64) << U(16))], pa.binary())], ["unit", "keys"])
-
-
 # ---- settling ----
 #: Kind 0: entries to settle, by part: fingerprints, doc ids, starts, lengths.  Kind 1: lost ranges of a unit.
 SENT = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("unit", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("own", pa.binary()), ("lo", pa.binary()), ("size", pa.binary())])
@@ -330,6 +324,8 @@ def _send_symbols(bits: int, parts: int, ladder):
             whole = alive[hi - WINDOW + 1] - alive[lo] == hi - lo - WINDOW + 1
             lo, hi = lo[whole], hi[whole]
             out += _entries(left.column("unit")[i].as_py(), prints, lo, hi, ids[row[lo]] if len(lo) else ids[:0], parts)
+            del u, row, ids, prints, start, live, word, lo, hi, alive, whole
+            trim()
         return _rows(out)
 
     return run
@@ -348,6 +344,8 @@ def _send_windows(bits: int, parts: int):
                 np.maximum.at(reach, *_ranges(lo, size))
             start = start[live & (np.maximum.accumulate(reach)[start] < start + WINDOW)]
             out += _entries(left.column("unit")[i].as_py(), prints, start, start + WINDOW, ids[row[start]] if len(start) else ids[:0], parts)
+            del u, row, ids, prints, start, live, reach
+            trim()
         return _rows(out)
 
     return run
@@ -393,7 +391,7 @@ def substring_dedup(docs: DataFrame, with_text: bool = False, ladder=LADDER) ->
     n = units.agg(F.sum("n")).first()[0] or 0
     bits, pieces = bloom.part_bits(n, parts), bloom.part_bits(n * bloom.KEYS // ITEMS, parts)
     empty = [F.lit(None).cast("binary").alias(c) for c in ("lo", "size")]
-    maybe = written(bloom.answers(units.mapInArrow(_full_keys, "unit long, keys binary"), bits)).select("unit", "part", "maybe", *empty)
+    maybe = written(bloom.answers(units, bits, drop=16)).select("unit", "part", "maybe", *empty)
     bodies = units.select("unit", "words", "codes", "sizes", "ids").groupBy("unit")
     settled = lambda sent: written(sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_settle, SENT_DDL).select("unit", "lo", "size"))
     symbols_ = settled(bodies.cogroup(maybe.groupBy("unit")).applyInArrow(_send_symbols(bits, pieces, ladder), SENT_DDL))
