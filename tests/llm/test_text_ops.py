@@ -329,6 +329,22 @@ def test_bpe(docs, rows, empty):
     assert bpe.encode(empty, path).count() == 0
 
 
+def test_bpe_of_a_file_that_looks_across_white_space(docs, rows, monkeypatch):
+    """Its texts are encoded whole."""
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    assert bpe.separable(open(P.path("word_bpe_49k.json"), encoding="utf-8").read()) and not bpe.separable(open(path, encoding="utf-8").read())
+    monkeypatch.setattr(bpe, "KNOWN_BYTES", 500)
+    t = Tokenizer.from_file(path)
+    want = Counter()
+    for i, x in rows:
+        ids = t.encode(x or "", add_special_tokens=False).ids
+        want[i, len(ids), sha(" ".join(map(str, ids))), sha(t.decode(ids, skip_special_tokens=False))] += 1
+    assert multiset(bpe.encode(docs, path), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == want
+
+
 def test_bpe_special_cases_and_decode(spark):
     path, t = tokenizer()
     texts = ["It's <|endoftext|> we'll", "İstanbul ﬁ \u00a0x \u2028y", "e\u0301 \u0301e", "a\x1fb\x85c", "数字 123 😀!!", "\u3000"]

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import bloom
 from textloom.llm.common import attach, keep_rows, row_key, shuffle_partitions, small_batches, spread_join, table, written
-from textloom.llm.words import U, mix, parse
+from textloom.llm.words import U, mix, parse, trim
 
 SHINGLE = 5
 REGISTERS, BAND = 64, 4
@@ -184,6 +184,7 @@ def _units(batches):
             yield unit()
             count += 1
             rows, nodes, texts, keys, size = [], {}, [], [], 0
+            trim()
     if any(r.num_rows for r in rows):
         yield unit()
 
