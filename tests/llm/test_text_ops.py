@@ -394,27 +394,72 @@ def test_em_finds_the_unreliable_labeler(spark):
     assert p["110"] > 0.9 and p["001"] < 0.1 and p["111"] > p["110"] - 0.02
 
 
-@pytest.mark.parametrize("width", [70, 75, 80])
-def test_wrapped_notices(width):
+def scanned(texts):
     import pyarrow as pa
 
+    return next(licenses._scan([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])])).to_pylist()
+
+
+@pytest.mark.parametrize("width", [70, 75, 80])
+def test_wrapped_notices(width):
     long = [(i, t) for i, t in licenses.TEMPLATES if len(t) > width]
-    texts = [f"{mark}Other text here\n\n" + "\n".join(mark + x for x in textwrap.wrap(t, width)) + f"\n{mark}and more words follow.\n\nEnd" for mark in ("", " * ") for _, t in long]
-    out = next(licenses._scan([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])])).to_pylist()
-    assert [r["licenses"] for r in out] == [i for i, _ in long] * 2
+    texts = [f"{mark}Other text here\n\n" + "\n".join(mark + x for x in textwrap.wrap(t, width)) + f"\n{mark}and more words follow.\n\nEnd" for mark in ("", " * ", "# ") for _, t in long]
+    assert [r["licenses"] for r in scanned(texts)] == [i for i, _ in long] * 3
+
+
+def test_licences_of_several_paragraphs():
+    """Whole licence files, as they are laid out: 80 columns, blank lines, a holder's name and list items."""
+    wrap = lambda *ps: "\n\n".join("\n".join(textwrap.wrap(p, 80)) for p in ps)
+    L = licenses
+    mit = wrap("MIT License", "Copyright (c) 2021 A. Holder", L._MIT_GRANT, L._MIT_NOTICE, L._MIT_WARRANTY)
+    one, two = L._BSD_START.split(" 2. Redistributions in")
+    bsd = wrap("Copyright (c) 2020, A. Holder. All rights reserved.", one, "2. Redistributions in" + two, L._BSD_NAME, L._BSD_WARRANTY)
+    bsd2 = wrap("Copyright (c) 2020, A. Holder", L._BSD_START, L._BSD_WARRANTY)
+    gpl, warranty = L._GNU.format(name="General Public License", v=3).split(" This program is distributed")
+    rest = wrap("some code " * 400)
+    texts = [mit, bsd, bsd2, wrap(gpl, "This program is distributed" + warranty), f"{rest}\n\n{mit}\n\n{rest}\n\n{bsd}\n"]
+    assert [r["licenses"] for r in scanned(texts)] == ["MIT", "BSD-3-Clause", "BSD-2-Clause", "GPL-3.0", "MIT,BSD-3-Clause"]
+
+
+def test_a_very_long_block_and_odd_rows(spark):
+    line = "copyright and warranty words without a notice\n"
+    text = line * 3000 + "Licensed under CC BY-SA 4.0.\n" + line * 3000
+    df = spark.createDataFrame([(1, text, "a"), (1, text, "a"), (None, "Released under the MIT License.", "b"), (2, None, "c")], "doc_id long, text string, licenses string")
+    assert sorted((r.doc_id or 0, r.licenses) for r in licenses.scan(df).collect()) == [(0, "MIT"), (1, "CC-BY-SA-4.0"), (1, "CC-BY-SA-4.0"), (2, "")]
+
+
+def test_the_winner_is_the_first_confirmed_of_the_ranking():
+    """All templates are ranked for all blocks by sizes computed here, and the first whose wording holds is taken."""
+    import zstandard
+
+    rng = np.random.default_rng(3)
+    m = licenses.Matcher()
+    for spdx, t in licenses.TEMPLATES:
+        w = t.split()
+        for at in rng.integers(0, len(w), len(w) // 30).tolist():
+            w[at] = "other"
+        block = "before it " + " ".join(w) + " and after"
+        size = lambda d: len(zstandard.ZstdCompressor(level=3, **({"dict_data": zstandard.ZstdCompressionDict(d.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)} if d else {})).compress(block.encode()))
+        saved = [size("") - size(x) for _, x in licenses.TEMPLATES]
+        order = sorted(range(len(saved)), key=lambda i: (-saved[i], i))
+        first = next((i for i in order if saved[i] >= licenses.LEAST_SAVED * m.size[i] and m.wording(licenses.words(block), i)), None)
+        got = m.matches(block)
+        assert [g[0] for g in got][:1] == ([licenses.TEMPLATES[first][0]] if first is not None else [])
+        if first is not None:
+            assert got[0][1] == saved[first] / size("")
 
 
 def test_licenses(spark, empty):
     rows = [(1, "Text\nReleased under the MIT License.%%%\nmore"), (2, "Licensed under the Apache License, Version 2.0."), (3, "This work is licensed under the GNU General Public License, version 2."), (4, "A licence to kill"), (5, None), (6, ""), (7, "Licensed under CC BY-NC 4.0.\nReleased under the MIT License."), (8, "licensed under the apache license version 3.0"), (9, "No cue here")]
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {i: r.licenses for i, r in got.items()} == {1: "MIT", 2: "Apache-2.0", 3: "GPL-2.0", 4: "", 5: "", 6: "", 7: "CC-BY-NC-4.0,MIT", 8: "", 9: ""}
-    assert all(r.best_reduction > 0.3 for r in got.values() if r.licenses) and licenses.scan(empty).count() == 0
+    assert all(r.best_reduction > 0.2 for r in got.values() if r.licenses) and licenses.scan(empty).count() == 0
 
 
 def test_templates_match_themselves():
     m = licenses.Matcher()
     for spdx, text in licenses.TEMPLATES:
-        assert m.match(text)[0] == spdx and m.ranked(text)[0][0] > 0.5
+        assert m.matches(text)[0][0] == spdx and m.ranked(text)[0][0] > 0.5 * len(m.alone.compress(text.encode()))
 
 
 def test_mixing(docs, rows, empty):
