@@ -384,6 +384,85 @@ def test_pii(spark, docs, empty):
     assert all(not r.base and not r.added for r in pii.detect(docs).collect()) and pii.detect(empty).count() == 0
 
 
+def plain_added(texts):
+    """The added spans by plain Python: wide patterns, votes, EM, naive Bayes."""
+    first = lambda r: [n for x in r.split() for n in range(int(x.split("-")[0]), int(x.split("-")[-1]) + 1)]
+    begins = lambda d, r: any(d.startswith(str(n)) for n in first(r))
+    wide = {"email": pii.SPELLED, "phone": pii.NATIONAL, "secret": pii.SECRET, "id": pii.IDENTITY}
+    raw = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    found, counts = [], Counter()
+    for t in texts:
+        base = [(k, a, b, "b") for k, a, b in base_spans(t or "")]
+        more = [(k, m.start(), m.end(), "w") for k, p in wide.items() for m in re.finditer(p, t or "")]
+        more = [x for x in more if not any(y[1] < x[2] and x[1] < y[2] for y in base)]
+        rows = []
+        for k, a, b, w in base + more:
+            s, before = t[a:b], t[max(0, a - 40) : a]
+            prev = max([m.end() for m in re.finditer(raw[k] if w == "b" else wide[k], t) if m.end() <= a], default=0)  # context ends at the last match of the pattern
+            before = before[-(a - prev) :] if a > prev else ""
+            d = re.sub("[^0-9]", "", s)
+            gaz = {
+                "email": lambda: re.split(r"[.\s]+", re.sub(r"[\[(]dot[\])]", ".", s.lower()))[-1] in pii.ENDINGS,
+                "phone": lambda: begins(d, pii.DIALLING) if w == "b" else bool(re.match(r"[2-9][0-8][0-9][2-9]", d)),
+                "ip": lambda: not re.search(pii.RESERVED, s),
+                "card": lambda: begins(d, pii.ISSUERS),
+                "secret": lambda: re.match(r"[a-z_]*", s.lower())[0] in pii.KEY_NAMES,
+                "id": lambda: 1_010_001 <= int(d) <= 772_999_999 and len(set(d)) > 1,
+            }[k]()
+            feature = {"email": len(s) < 64, "secret": '"' in s, "id": True}.get(k, bool(re.search(r"[().\x20-]", s)))
+            votes = "".join(str(int(v)) for v in (bool(re.search(pii.STRICT[k], s)), gaz, bool(re.search(pii.CUES[k], before))))
+            code = f"{k}|{votes}|{w}|{int(feature)}"
+            counts[code] += 1
+            rows.append((k, a, b, code))
+        found.append(rows)
+    accepted = set()
+    for kind in pii.KINDS:
+        own = {c: n for c, n in counts.items() if c.startswith(kind + "|")}
+        prior, hit, slip = 0.5, [0.8, 0.8, 0.6], [0.2, 0.2, 0.1]
+
+        def post(v):
+            yes, no = prior, 1 - prior
+            for i, x in enumerate(v):
+                yes, no = yes * (hit[i] if x == "1" else 1 - hit[i]), no * (slip[i] if x == "1" else 1 - slip[i])
+            return yes / (yes + no)
+
+        n = sum(own.values())
+        for _ in range(30):
+            y = {c: post(c.split("|")[1]) * k for c, k in own.items()}
+            total = sum(y.values())
+            on = lambda c, i: c.split("|")[1][i] == "1"
+            new_hit = [(sum(y[c] for c in own if on(c, i)) + 4 * [0.8, 0.8, 0.6][i]) / (total + 4) for i in range(3)]
+            slip = [(sum(own[c] - y[c] for c in own if on(c, i)) + 4 * [0.2, 0.2, 0.1][i]) / (n - total + 4) for i in range(3)]
+            hit, prior = new_hit, (total + 2) / (n + 4)
+        p = {c: post(c.split("|")[1]) for c in own}
+        py, pn = sum(own[c] * p[c] for c in own), sum(own[c] * (1 - p[c]) for c in own)
+        parts = lambda c: [f"v{i}={x}" for i, x in enumerate(c.split("|")[1])] + ["f=" + c.split("|")[3]]
+        for c in own:
+            score = np.log((py + 1) / (pn + 1))
+            for f in parts(c):
+                yes, no = (sum(own[o] * q(p[o]) for o in own if f in parts(o)) for q in (lambda v: v, lambda v: 1 - v))
+                score += np.log((yes + 1) / (py + 2) / ((no + 1) / (pn + 2)))
+            if score > 0 and "|w|" in c:
+                accepted.add(c)
+    return [sorted((k, a, b) for k, a, b, c in rows if c in accepted) for rows in found]
+
+
+def test_pii_added_spans(spark):
+    rng = np.random.default_rng(4)
+    num = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    makers = [
+        lambda: f"call {rng.integers(2, 9)}{num(2)}-555-{num(4)} now", lambda: f"part {num(3)}.{num(3)}.{num(4)} of", lambda: f'login token = "{num(9)}abcDEF{num(5)}"', lambda: f"key: {'z' * rng.integers(8, 300)} end",
+        lambda: f"ssn {rng.integers(100, 700)}-{num(2)}-{num(4)}", lambda: f"id 000-{num(2)}-{num(4)}", lambda: f"mail bob{num(2)} [at] host{num(1)} [dot] com", lambda: f"x{num(2)}(at)y(dot)zz", lambda: f"call +49 30 {num(8)}", lambda: f"from 10.{num(2)}.1.{num(2)} and 8.8.{num(1)}.8",
+        lambda: "4111 1111 1111 1111", lambda: f"+{num(12)}", lambda: f"write a{num(2)}@b.org or c@d.{num(2)}",
+    ]
+    texts = [" ".join(makers[i]() for i in rng.integers(0, len(makers), 5)) for _ in range(120)] + [None, "plain"]
+    got = {r.doc_id: sorted((x.kind, x.start, x.end) for x in r.added) for r in pii.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = plain_added(texts)
+    assert sum(map(len, want)) > 100 and [got[i] for i in range(len(texts))] == want
+    taken = {k for rows in want for k, _, _ in rows}
+    assert {"secret", "phone"} <= taken
+
+
 def test_em_finds_the_unreliable_labeler(spark):
     rng = np.random.default_rng(0)
     y = rng.random(4000) < 0.5

@@ -2,22 +2,23 @@
 
 Candidate spans come from the base patterns (email, ip, card, phone) and from
 wider ones (spelled-out email addresses, national phone numbers, credentials,
-identity numbers).  Three labelers vote on each: a regex labeler (is the form
-strict?), a gazetteer labeler (known domain endings, dialling prefixes, key
-names) and a context labeler (cue words just before the span).
+identity numbers).  Three labelers vote on each: a regex labeler (does the span keep the
+stricter form that real ones have?), a gazetteer labeler (known domain endings, dialling
+codes, card issuers' ranges, reserved addresses, key names, assigned area numbers) and a
+context labeler (cue words just before the span).
 Expectation-maximisation over the counts of vote patterns estimates each
 labeler's reliability and a posterior for each pattern, without labelled data;
 the posteriors train the final span classifier, a naive Bayes model over votes
 and span features, and spans that it accepts join the base ones.
 
-The corpus pass sums candidates by (kind, votes, features), a table of at most
-``MAX_PATTERNS`` rows by construction, so nothing grows with the data but the
-scan.  Base spans always stay; an added span never overlaps one.
+Texts are scanned twice: once for the counts by (kind, votes, features), a table of at most
+``MAX_PATTERNS`` rows by construction that is written, and once for the spans.  Base spans
+always stay; an added span never overlaps one.
 
 Defined results: a null or empty text has no spans; rows are judged one by one
 (ties, null ids, repeated rows); an empty table gives an empty result; extra
 columns are ignored.  Patterns run in linear time and constant stack on very
-long texts.
+long texts; credentials of any length are one span.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import let, table
+from textloom.llm.common import let, table, written
 
 KINDS = ["email", "ip", "card", "phone", "secret", "id"]
 LOCAL = r"A-Za-z0-9._%+-"
@@ -38,11 +39,35 @@ PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 # Wider candidates.
 SPELLED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]{1,63}\x20?[\[(](?:dot|DOT)[\])]\x20?[A-Za-z]{2,24}"
 NATIONAL = r"(?<![0-9+.(-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])"
-SECRET = r"(?i)\b(?:token|secret|password|passwd|api_?key|access_?key|key)\x20?[=:]\x20?\"?[A-Za-z0-9+/_-]{8,256}+\"?"
+SECRET = r"(?i)\b(?:token|secret|password|passwd|api_?key|access_?key|key)\x20?[=:]\x20?\"?[A-Za-z0-9+/_-]{8,}+\"?"
 IDENTITY = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 
+# Gazetteers (fixed values); runs of numbers are written as ranges.
 ENDINGS = "com org net edu gov io co de fr es uk eu info".split()
 KEY_NAMES = "token secret password passwd api_key apikey access_key".split()
+#: Country dialling codes of ITU-T E.164.
+DIALLING = "1 7 20 27 30-34 36 39-41 43-49 51-58 60-66 81 82 84 86 90-95 98 211-213 216 218 220-258 260-269 290 291 297-299 350-359 370-378 380-383 385-387 389 420 421 423 500-509 590-599 670 672-683 685-692 850 852 853 855 856 880 886 960-968 970-977 992-996 998"
+#: Leading digits of card issuers.
+ISSUERS = "4 34 36-39 51-55 62 65 300-305 644-649 2221-2720 3528-3589 6011"
+#: First, first two or first three parts of addresses that no host on the net has.
+RESERVED = r"^0*(?:0|10|127|2(?:2[4-9]|[34][0-9]|5[0-5]))\.|^0*169\.0*254\.|^0*192\.0*0\.0*2\.|^0*198\.0*51\.0*100\.|^0*203\.0*0\.0*113\."
+
+
+def listed(ranges: str) -> str:
+    """A pattern for texts that begin with one of the numbers."""
+    numbers = [n for r in ranges.split() for n in range(int(r.split("-")[0]), int(r.split("-")[-1]) + 1)]
+    return "^(?:" + "|".join(map(str, numbers)) + ")"
+
+
+#: The stricter forms of the regex labeler, by kind; the span's digits are tested where it is by digits.
+STRICT = {
+    "email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]{0,62}\x20?(?:@|[\[(](?:at|AT)[\])])\x20?(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.|\x20?[\[(](?:dot|DOT)[\])]\x20?))+[A-Za-z]{2,24}$",
+    "ip": r"^(?:0|[1-9][0-9]{0,2})(?:\.(?:0|[1-9][0-9]{0,2})){3}$",
+    "card": r"^(?:[0-9]{14,19}|[0-9]{4}([\x20-])[0-9]{4}\1[0-9]{4}\1[0-9]{2,7}|[0-9]{4}([\x20-])[0-9]{6}\2[0-9]{4,5})$",
+    "phone": r"^(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)[\x20.-]?|[0-9]{2,4}[\x20.-])?[0-9]{2,4}(?:[\x20.-]?[0-9]{2,4}){1,4}$",
+    "secret": r"[=:]\x20?\"?(?=[^\"]*[0-9])(?=[^\"]*[A-Za-z])[^\"]{16,}\"?$",
+    "id": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$",
+}
 CUES = {
     "email": r"(?i)\b(?:e-?mail|contact|write|mail|correo|courriel)\b",
     "ip": r"(?i)\b(?:ip|host|server|address|from)\b",
@@ -118,16 +143,17 @@ def voted(kind: str, strict: bool, spans: Column) -> Column:
     """Candidates with the three labelers' votes and two features."""
 
     def one(x: Column) -> Column:
-        low, d = F.lower(x["s"]), digits(x["s"])
-        if kind == "email":
-            regex, gazetteer, feature = F.lit(strict), F.element_at(F.split(F.regexp_replace(low, r"[\[(]dot[\])]", "."), r"[.\s]+", -1), -1).isin(ENDINGS), F.length(x["s"]) < 64
-        elif kind in ("phone", "ip", "card"):
-            regex, gazetteer, feature = F.lit(strict), ~d.rlike("^0") & ~d.rlike(r"^(\d)\1+$"), x["s"].rlike(r"[().-]")
-        elif kind == "secret":
-            value = F.regexp_extract(x["s"], r"[=:]\x20?\"?([^\"]*)", 1)
-            regex, gazetteer, feature = value.rlike(r"(?=.*[0-9])(?=.*[A-Za-z])^.{16,}$"), F.regexp_extract(low, r"^[a-z_]+", 0).isin(KEY_NAMES), x["s"].rlike('"')
-        else:
-            regex, gazetteer, feature = ~x["s"].rlike(r"^(?:000|666|9)|-00-|-0000$"), ~d.rlike(r"^(\d)\1+$"), F.lit(True)
+        low, d, t = F.lower(x["s"]), digits(x["s"]), x["s"]
+        gazetteer = {
+            "email": lambda: F.element_at(F.split(F.regexp_replace(low, r"[\[(]dot[\])]", "."), r"[.\s]+", -1), -1).isin(ENDINGS),
+            "phone": lambda: d.rlike(listed(DIALLING)) if strict else d.rlike(r"^[2-9][0-8][0-9][2-9]"),  # national: assigned area and exchange codes
+            "ip": lambda: ~t.rlike(RESERVED),
+            "card": lambda: d.rlike(listed(ISSUERS)),
+            "secret": lambda: F.regexp_extract(low, r"^[a-z_]+", 0).isin(KEY_NAMES),
+            "id": lambda: d.cast("bigint").between(1_010_001, 772_999_999) & ~d.rlike(r"^(\d)\1+$"),
+        }[kind]()
+        feature = {"email": lambda: F.length(t) < 64, "secret": lambda: t.rlike('"'), "id": lambda: F.lit(True)}.get(kind, lambda: t.rlike(r"[().\x20-]"))()
+        regex = t.rlike(STRICT[kind])
         votes = F.concat(*[F.when(v, "1").otherwise("0") for v in (regex, gazetteer, x["before"].rlike(CUES[kind]))])
         code = F.concat_ws("|", F.lit(kind), votes, F.when(F.lit(strict), "b").otherwise("w"), F.when(feature, "1").otherwise("0"))
         return F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("k"), x["end"].alias("end"), F.lit(kind).alias("kind"), code.alias("code"))
@@ -194,7 +220,7 @@ def classifier(patterns: DataFrame) -> DataFrame:
 def detect(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) with base and added spans: struct(start, k, end, kind, code)."""
     cand = candidates(docs.select("doc_id", F.col("text").cast("string").alias("text"))).drop("text")
-    patterns = cand.select(F.explode(F.concat("base", "wide")).alias("c")).groupBy("c.code").agg(F.count("*").alias("n"))
+    patterns = written(cand.select(F.explode(F.concat("base", "wide")).alias("c")).groupBy("c.code").agg(F.count("*").alias("n")))
     accepted = [r.code for r in classifier(patterns).where("score > 0 and code like '%|w|%'").limit(MAX_PATTERNS).collect()]  # at most MAX_PATTERNS exist
     take = F.filter("wide", lambda w: w["code"].isin(accepted)) if accepted else F.slice("wide", 1, 0)
     return cand.select("doc_id", "base", take.alias("added"))
@@ -204,4 +230,4 @@ def op10_pii(spark, sf_dir: str) -> DataFrame:
     d = detect(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     text = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
-    return d.select("doc_id", *[count(k) for k in KINDS[:4]], F.sha2(F.encode(text("base"), "UTF-8"), 256).alias("base_sha256"), text(F.sort_array(F.concat("base", "added"))).alias("spans"))
+    return d.select("doc_id", *[count(k) for k in KINDS[:4]], F.sha2(F.encode(text("base"), "UTF-8"), 256).alias("base_sha256"), text(F.sort_array(F.concat("base", "added"))).alias("spans"), (F.size("base") + F.size("added")).cast("long").alias("n_spans"))
