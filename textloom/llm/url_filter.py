@@ -101,9 +101,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     sets = some.groupBy("__set").agg(F.first("__hits").alias("__hits")).select("__set", F.explode("__hits").alias("__hash"))
     best = sets.join(listed.select("__hash", F.length("__key").alias("__len")), "__hash").groupBy("__set").agg(F.max_by("__hash", "__len").alias("__hash"))
     true = best.join(listed.select("__hash", F.struct("__key", "__verdict").alias("__best")), "__hash").drop("__hash")
-    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(64))  # noqa: E731  a set may be shared by most rows
     spread = true.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(63)).cast("array<bigint>")))
-    done = some.withColumn("__salt", salt(F.col("__url"))).join(spread, ["__set", "__salt"], "left")
+    # A set may be shared by most rows, and a URL too, so the salt is drawn from the row.
+    done = some.withColumn("__salt", F.pmod(F.xxhash64("__url", F.monotonically_increasing_id()), F.lit(64))).join(spread, ["__set", "__salt"], "left")
     # The wording itself decides: some suffix of the host with a prefix of the path is the key.
     key = F.col("__best.__key")
     fits = F.coalesce(F.exists(suffixes, lambda s: F.startswith(key, s) & F.startswith(F.concat(s, F.col("path")), key)), F.lit(False))
