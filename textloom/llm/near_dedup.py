@@ -404,4 +404,18 @@ def near_dedup(docs: DataFrame, least: float = THRESHOLD) -> DataFrame:
 
 
 def op5_bagminhash(spark, sf_dir: str) -> DataFrame:
-    return near_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_links", "kept")
+    return near_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "kept")
+
+
+#: All pairs that share a shingle, then the least doc_id that links reach.
+SQL_OP5 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM w WHERE len(w) > 0)),
+e AS MATERIALIZED (SELECT doc_id, k, row_number() OVER (PARTITION BY doc_id, k) AS nth FROM s),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM e GROUP BY doc_id),
+p AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e a JOIN e b USING (k, nth) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE c / (a.n + b.n - c) >= 0.8),
+g AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS o FROM documents UNION SELECT r.doc_id, g.y FROM r JOIN g ON r.o = g.x)
+SELECT doc_id, min(o) AS class_id, doc_id = min(o) AS kept FROM r GROUP BY doc_id
+"""

@@ -17,6 +17,7 @@ QUERIES = {
     "op9_quality_rules": quality.op9_quality_rules,
 }
 ORACLE_SQL = {
+    "op5_bagminhash": near_dedup.SQL_OP5,
     "op6_exact_dedup": exact_dedup.SQL_OP6,
     "op7_url_filter": url_filter.SQL_OP7,
     "op2_substring_dedup": substring_dedup.SQL_OP2,
