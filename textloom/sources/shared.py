@@ -75,10 +75,11 @@ SMALL_BYTES = 64 << 20
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table; a small one is dealt to all cores, as its row groups are fewer than these.
-    Larger tables have splits enough and don't move."""
+    """A Parquet table; a small one in fewer files than there are cores is dealt to all cores, as
+    its row groups are fewer than these.  Other tables have splits enough and don't move."""
     df = spark.read.parquet(path)
     fs, p = _path(spark, path)
-    if fs.getContentSummary(p).getLength() < SMALL_BYTES:
-        return df.repartition(spark.sparkContext.defaultParallelism)
+    cores = spark.sparkContext.defaultParallelism
+    if fs.getContentSummary(p).getLength() < SMALL_BYTES and len(df.inputFiles()) < cores:
+        return df.repartition(cores)
     return df
