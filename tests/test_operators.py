@@ -34,6 +34,24 @@ def test_tfidf_matches_its_formula(docs):
     assert rows[3] == "" and rows[1].startswith("a:1.1288 | b:")
 
 
+def test_tfidf_weights_keep_every_term(spark):
+    df = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["b", "c"]), (3, []), (4, ["c", "d"])], "doc_id long, tokens array<string>")
+    got = {(r.doc_id, r.token): r.weight for r in corpus.tfidf_weights(df).collect()}
+    idf = lambda df: math.log(5 / (1 + df)) + 1
+    assert got.keys() == {(1, "a"), (1, "b"), (2, "b"), (2, "c"), (4, "c"), (4, "d")}
+    assert got[1, "a"] == pytest.approx(2 * idf(1) / math.hypot(2 * idf(1), idf(2)))
+    assert {(r.doc_id, r.token) for r in corpus.tfidf_weights(df, min_df=2).collect()} == {(1, "b"), (2, "b"), (2, "c"), (4, "c")}
+    many = spark.range(70_000).select(F.col("id").alias("doc_id"), F.array(F.concat(F.lit("t"), "id")).alias("tokens"))
+    assert corpus.tfidf_weights(many).count() == 70_000  # more than the models' features
+
+
+def test_each_evaluates_its_array_once(spark):
+    df = spark.range(3).select(F.col("id").alias("doc_id"), F.split(F.concat(F.lit("x y"), "id"), "y").alias("tokens"))
+    for out in (corpus.unigram_freq(df, k=None), corpus.bigram_freq(df, k=None), corpus.term_freq(df)):
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert sorted(tuple(r) for r in corpus.unigram_freq(df, k=None).collect()) == [("0", 1), ("1", 1), ("2", 1), ("x ", 3)]
+
+
 def test_vocabulary_and_bow(docs):
     vocab = corpus.vocabulary(docs, max_features=2)
     assert [tuple(r) for r in vocab.orderBy("idx").collect()] == [("a", 0), ("b", 1)]
