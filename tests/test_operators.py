@@ -266,3 +266,10 @@ def test_polarity_rules(spark):
     want = [1.9, 1.9 + 0.293, 1.9 * -0.74, 1.9 + 0.733, 1.9 + 3 * 0.292, 1.9 * 0.5 - 2.5 * 1.5, -1.5, 1.9 + 0.36, 0, 0, 1.9, 1.9 + 0.293 + 0.293 * 0.95]
     assert all(got[i].compound == pytest.approx(s(x)) for i, x in enumerate(want))
     assert got[8].neu == got[9].neu == 1.0 and got[0].pos == pytest.approx(2.9 / 4.9)
+
+
+def test_csv_keeps_null_and_empty_apart(spark, tmp_path):
+    rows = [(1, "", "x"), (2, None, ""), (3, "a\r\nb\r", None), (4, '"",\n"', "\\"), (None, " ", "\0")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    io.write_csv(df, f"file://{tmp_path}/csv")
+    assert sorted(map(tuple, io.read_csv(spark, f"file://{tmp_path}/csv", df.schema).collect()), key=repr) == sorted(rows, key=repr)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,8 +31,11 @@ def list_dir(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Headed CSV with a declared schema; texts may hold line breaks and doubled quotes."""
-    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    """Headed CSV with a declared schema; texts may hold line breaks and doubled quotes.  An empty
+    field is null and a quoted empty one the empty text: Spark takes both for null unless its mark
+    for nulls, here one that no text has, is another than the empty text."""
+    options = {"header": True, "multiLine": True, "escape": '"', "nullValue": uuid.uuid4().hex, "emptyValue": ""}
+    return spark.read.schema(schema).options(**options).csv(path)
 
 
 def read_csv_or_empty(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
