@@ -42,6 +42,31 @@ def test_forest_svm_and_search(corpus_df):
     assert found["family"] == "logreg" and found["accepted_cv"] and found["accepted_test"] and len(found["tried"]) == 3
 
 
+def test_candidates_share_features(corpus_df, monkeypatch):
+    d = models.labelled(corpus_df)
+    made = []
+    monkeypatch.setattr(models, "fit_tfidf", lambda *a, f=models.fit_tfidf: made.append(a[1:]) or f(*a))
+    shared = models.Features(d, 5)
+    for c in (0.2, 1.0):
+        assert models.macro_f1(models.predict(d, models.fit_logistic(shared, c))) > 0.8
+    assert models.macro_f1(models.predict(d, models.fit_forest(shared, k=3, trees=5))) > 0.6
+    assert made == [(1, 1)]
+    a, b = shared.components(1, 1, 3), models.svd_components(shared.sparse(1, 1)[1], k=3)
+    assert a.shape == b.shape and np.allclose(a @ a.T, b @ b.T, atol=1e-6)
+
+
+def test_grid_best_tries_every_setting(monkeypatch):
+    import __spark_entry__ as entry
+    from textloom.plans import model_queries
+
+    seen = []
+    monkeypatch.setattr(model_queries, "training", lambda *_: None)
+    monkeypatch.setattr(models, "optimise", lambda d, grid: seen.append(len(models.settings(grid))) or (_ for _ in ()).throw(KeyError))
+    with pytest.raises(KeyError):
+        entry.queries()["grid_best"](None, "")
+    assert seen == [156]
+
+
 def test_tree_against_a_plain_one(spark):
     rng = np.random.default_rng(3)
     x = rng.integers(0, 2, (200, 70))
