@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm.common import shuffle_partitions, small_batches, table, written
-from textloom.llm.words import trim
+from textloom.llm.words import trim, trimmed
 
 BLOCK_BYTES = 16 << 20
 KNOWN_BYTES = 64 << 20
@@ -98,6 +98,7 @@ def _blocks(parts: int, words_apart: bool):
     block's documents: ids, lengths, codes in order of first use, code order by bucket."""
 
     def run(batches):
+        trim()  # a worker that another stage used
         task = TaskContext.get().partitionId()
         count = size = 0
         words: dict[bytes, int] = {}
@@ -159,6 +160,7 @@ def tokenizer_of(text: str):
 def _encode(spec):
     """Answers each kind 0 row; a word is encoded once in its bucket's task."""
 
+    @trimmed
     def run(batches):
         t = tokenizer_of(spec.value)
         known: dict[bytes, np.ndarray] = {}

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import bloom
 from textloom.llm.common import attach, keep_rows, row_key, shuffle_partitions, small_batches, spread_join, table, written
-from textloom.llm.words import U, mix, parse, trim
+from textloom.llm.words import U, mix, parse, trim, trimmed
 
 SHINGLE = 5
 REGISTERS, BAND = 64, 4
@@ -158,6 +158,7 @@ def _read(body: bytes) -> pa.Table:
     return pa.ipc.open_stream(body).read_all()
 
 
+@trimmed
 def _units(batches):
     """Units: rows (ids and nodes), and for the unit's distinct texts nodes, texts and band keys."""
     task, count = TaskContext.get().partitionId(), 0
@@ -189,6 +190,7 @@ def _units(batches):
         yield unit()
 
 
+@trimmed
 def _explode_rows(batches):
     for b in batches:
         for unit, body in zip(b.column("unit").to_pylist(), b.column("rows").to_pylist()):
@@ -203,6 +205,7 @@ def _split(nodes: bytes) -> list[bytes]:
 def _bands(bits: int):
     """(band, node, weight) of the band keys that may be repeated; weight counts the node's."""
 
+    @trimmed
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         parts, maps = right.column("part").to_pylist(), right.column("maybe").to_pylist()
         out = [pa.table({"band": pa.array([], pa.int64()), "node": pa.array([], pa.binary()), "weight": pa.array([], pa.int64())})]
@@ -221,6 +224,7 @@ BODIES = pa.schema([("unit", pa.int64()), ("nodes", pa.binary()), ("sizes", pa.b
 BODIES_DDL = "unit long, nodes binary, sizes binary, keys binary"
 
 
+@trimmed
 def _bodies(left: pa.Table, right: pa.Table) -> pa.Table:
     """The multisets of a unit's wanted nodes."""
     wanted, out = set(right.column("node").to_pylist()), []
@@ -238,6 +242,7 @@ def _cut(b, i):
     return _split(b.column("nodes")[i].as_py()), np.split(bloom.unpack(b.column("keys")[i].as_py(), np.uint64), ends[:-1])
 
 
+@trimmed
 def _explode_bodies(batches):
     for b in batches:
         for i in range(b.num_rows):
@@ -250,6 +255,7 @@ def _prefixes(least: float, bits: int):
     left from there on; short ones may be it in a pair with a text of the same size or a larger
     one.  Elements that occur once are left out."""
 
+    @trimmed
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         parts, maps = right.column("part").to_pylist(), right.column("maybe").to_pylist()
         out = [[], [], [], []]
@@ -271,6 +277,7 @@ def _prefixes(least: float, bits: int):
 
 
 def _verify(least: float):
+    @trimmed
     def run(batches):
         for b in batches:
             ok = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= least for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]

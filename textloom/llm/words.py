@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import gc
+import inspect
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 U = np.uint64
@@ -41,7 +44,36 @@ def trim() -> None:
     """Gives memory that a unit's arrays took back to the system; Python workers live on and
     would keep it."""
     gc.collect()
+    pa.default_memory_pool().release_unused()  # Arrow's allocator keeps pages of its own
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         pass
+
+
+def trimmed(f):
+    """f, a function of an Arrow operator, that leaves its worker as small as it found it: what a
+    task held, known words too, goes back to the system when f ends."""
+
+    def end() -> None:
+        _WORDS.clear()
+        trim()
+
+    if inspect.isgeneratorfunction(f):
+
+        @functools.wraps(f)
+        def run(batches):
+            yield from f(batches)
+            end()
+
+    else:
+
+        @functools.wraps(f)
+        def run(*tables):
+            out = f(*tables)
+            end()
+            return out
+
+    # PySpark reads the number of arguments from the signature.
+    run.__signature__ = inspect.signature(f)
+    return run
