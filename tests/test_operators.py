@@ -268,6 +268,24 @@ def test_polarity_rules(spark):
     assert got[8].neu == got[9].neu == 1.0 and got[0].pos == pytest.approx(2.9 / 4.9)
 
 
+def test_polarity_moves_no_text(spark, monkeypatch):
+    rows = ["a good film, but NOT a very BAD one!!", "no good", "bad " * 200, "", None, "!!!", "so good so bad"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(2)
+    v = spark.createDataFrame([("good", 1.9), ("bad", -2.5), ("so", 1.0)], "word string, valence double")
+    out = lexicon.with_polarity(df, v)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan and "Aggregate" not in plan and "Generate" not in plan
+    near = lambda rows: {r.doc_id: tuple(round(r[c], 9) for c in ("neg", "neu", "pos", "compound")) for r in rows}
+    got = near(out.collect())
+    monkeypatch.setattr(lexicon, "LITERAL_WORDS", 1)
+    assert near(lexicon.polarity_scores(df, v).collect()) == got and len(got) == 7
+    posts = df.select(F.lit("t").alias("term"), F.col("doc_id").alias("post_id"), F.col("text").alias("title"), F.lit("").alias("selftext"), F.lit(1).alias("score"), F.lit(0).alias("num_comments"), F.lit("0").alias("created_utc"))
+    monkeypatch.setattr(lexicon, "LITERAL_WORDS", 100)
+    rich = collect.enrich(posts, spark.createDataFrame([("t", 1, "first")], "term string, article_rank long, title string"), valence=v)
+    assert "Generate" not in (plan := rich._jdf.queryExecution().optimizedPlan().toString()) and "rightHint=(strategy=broadcast)" in plan
+    assert {r.post_id: round(r.compound, 9) for r in rich.collect()} == {k: x[3] for k, x in got.items()}
+
+
 def test_csv_keeps_null_and_empty_apart(spark, tmp_path):
     rows = [(1, "", "x"), (2, None, ""), (3, "a\r\nb\r", None), (4, '"",\n"', "\\"), (None, " ", "\0")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")

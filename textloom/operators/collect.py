@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from textloom.functions import scalars as S
 from textloom.functions.clean import safe_text, strip
-from textloom.operators.lexicon import polarity_scores
+from textloom.operators.lexicon import _dimension, with_polarity
 from textloom.operators.quantiles import medians
+from textloom.sources.shared import written
 
 #: The terms used where no source gives any.
 DEFAULT_TERMS = ["Artificial Intelligence", "Climate Change", "Elections", "Technology", "Sports"]
@@ -100,12 +101,11 @@ def enrich(posts: DataFrame, news: DataFrame | None = None, label: Column | None
     })
     if news is not None:
         per = news.groupBy("term").agg(F.count("*").alias("news_count_for_term"), F.transform(F.array_sort(F.collect_list(F.struct("article_rank", "title"))), lambda s: s["title"]).alias("related_news_titles"))
-        out = out.join(per, "term", "left").withColumns({"news_count_for_term": F.coalesce("news_count_for_term", F.lit(0)), "related_news_titles": F.coalesce("related_news_titles", F.array().cast("array<string>"))})
+        # The terms that have news are few: beside them the posts, texts and all, don't move.
+        out = out.join(_dimension(written(per)), "term", "left").withColumns({"news_count_for_term": F.coalesce("news_count_for_term", F.lit(0)), "related_news_titles": F.coalesce("related_news_titles", F.array().cast("array<string>"))})
     if valence is not None:
-        # Equal texts are scored once; the digest spreads them, and AQE splits a text that most posts share.
-        out = out.withColumn("__text", strip(F.concat_ws(" ", "title", "selftext"))).withColumn("__sha", F.sha2(F.encode("__text", "UTF-8"), 256))
-        scores = polarity_scores(out.groupBy("__sha").agg(F.first("__text").alias("__text")), valence, "__sha", "__text")
-        out = out.join(scores, "__sha", "left").drop("__sha", "__text").withColumn("sentiment_label", S.threshold_label(F.col("compound")))
+        out = with_polarity(out.withColumn("__text", strip(F.concat_ws(" ", "title", "selftext"))), valence, "__text").drop("__text")
+        out = out.withColumn("sentiment_label", S.threshold_label(F.col("compound")))
     return out if label is None else out.withColumn("sentiment_label", label)
 
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import zlib
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions.scalars import margin_label
+from textloom.sources.shared import written
 
 # The negators and how many tokens each reaches.
 NEGATORS = ["not", "no", "never", "none", "nobody", "nothing", "neither", "nowhere", "hardly", "barely", "without", "n't"]
@@ -87,41 +92,82 @@ def emphasis(text: Column) -> Column:
     return F.least(marks, F.lit(MOST_EXCLAIM)) * EXCLAIM + F.when(asks <= 1, 0.0).when(asks <= MOST_QUESTION, asks * QUESTION).otherwise(MANY_QUESTIONS)
 
 
-def polarity_scores(df: DataFrame, valence: DataFrame, key: str = "doc_id", text: str = "text", alpha: float = 15.0, idioms: list[tuple[str, float]] | None = None) -> DataFrame:
-    """(key, neg, neu, pos, compound): rule scores after Hutto and Gilbert (2014) with a
+#: Words of a valence lexicon up to which it is a literal that each row looks its own words up in.
+LITERAL_WORDS = 100_000
+_LIFTS = BOOSTERS + DAMPENERS
+
+
+def _buckets(rows: list[tuple[str, float]]):
+    """A lookup of a word's valence: maps of a few words each in an array by CRC, as Spark searches a map from end to end."""
+    n = max(1, len(rows) // 2)
+    maps: list[dict[str, float]] = [{} for _ in range(n)]
+    for word, x in rows:
+        maps[zlib.crc32(word.encode()) % n][word] = x
+    table = F.from_json(F.lit(json.dumps(maps)), "array<map<string,double>>")
+    return lambda low: F.try_element_at(F.get(table, F.pmod(F.crc32(F.encode(low, "UTF-8")), F.lit(n)).cast("int")), low)
+
+
+def _weighted(at: Column, w: Column, low: Column, mixed: Column, but: Column, valence: Column) -> Column:
+    """What the word at position at (from 0) of the words w adds; low has them in lower case, but is the first "but" (from 1; 0: none)."""
+    loud = lambda x: mixed & (x == F.upper(x)) & (x != F.lower(x)) & (F.length(x) > 1)
+    back = lambda d: (F.get(w, at - d), F.get(low, at - d))
+
+    def degree(d: int) -> Column:
+        x, y = back(d)
+        step = F.when(y.isin(BOOSTERS), DEGREE).when(y.isin(DAMPENERS), -DEGREE)
+        return F.coalesce(step + F.when(loud(x), F.signum(step) * CAPITALS).otherwise(0.0), F.lit(0.0)) * FADE[d - 1]
+
+    v = valence + F.signum(valence) * (F.when(loud(F.get(w, at)), CAPITALS).otherwise(0.0) + degree(1) + degree(2) + degree(3))
+    negated = reduce(lambda a, b: a | b, (F.coalesce(back(d)[1].isin(NEGATORS), F.lit(False)) for d in (1, 2, 3)))
+    v = v * F.when(negated, NEGATED).otherwise(1.0)
+    return F.coalesce(v * F.when((but == 0) | (at + 1 == but), 1.0).when(at + 1 < but, BUT_BEFORE).otherwise(BUT_AFTER), F.lit(0.0))
+
+
+def with_polarity(df: DataFrame, valence: DataFrame, text: str = "text", alpha: float = 15.0, idioms: list[tuple[str, float]] | None = None) -> DataFrame:
+    """df with neg, neu, pos and compound: rule scores after Hutto and Gilbert (2014) with a
     pluggable valence(word, valence) and idioms (lower-case phrase, valence), which count as one word.
 
     Capitals in a mixed-case text strengthen a word; a degree word among the three words
     before it strengthens or weakens it, the less the further away; a negator among these
     three turns it; what stands before the first "but" counts half and what stands after it
     one and a half times; exclamation and repeated question marks strengthen the sum.
-    compound = s / sqrt(s * s + alpha).  An empty text gives (0, 1, 0, 0).  df has one row a key.
+    compound = s / sqrt(s * s + alpha).  An empty text gives (0, 1, 0, 0).
+
+    A text is scored in its own row: its words never become rows and nothing is shuffled.  Only
+    a lexicon of over LITERAL_WORDS words, or one that repeats words, is joined with the words.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     for phrase, _ in idioms or []:
         body = F.regexp_replace(body, r"(?i)(?<![\p{L}\p{N}'_])" + r"\s+".join(phrase.split()) + r"(?![\p{L}\p{N}'_])", phrase.replace(" ", "_"))
-    words = valence.select(F.col("word").alias("low"), "valence")
+    words = valence.select(F.col("word").alias("low"), F.col("valence").cast("double").alias("valence")).where("low is not null and valence is not null")
     if idioms:
         words = words.unionByName(df.sparkSession.createDataFrame([(p.replace(" ", "_"), float(x)) for p, x in idioms], "low string, valence double"))
-    raw = df.select(key, F.regexp_extract_all(body, F.lit(r"[\p{L}\p{N}'_]+"), F.lit(0)).alias("w"), emphasis(F.coalesce(F.col(text), F.lit(""))).alias("amp"))
-    mixed = F.exists("w", lambda x: x == F.lower(x)) & F.exists("w", lambda x: (x == F.upper(x)) & (x != F.lower(x)) & (F.length(x) > 1))
-    raw = raw.select(key, "amp", "w", mixed.alias("mixed"), F.array_position(F.transform("w", F.lower), "but").alias("but"))  # before the words become rows
-    rows = raw.select(key, "amp", "mixed", "but", F.posexplode_outer("w").alias("i", "w")).where("w is not null").withColumn("low", F.lower("w"))
-    loud = lambda x: F.col("mixed") & (x == F.upper(x)) & (x != F.lower(x)) & (F.length(x) > 1)
-    step = F.when(F.col("low").isin(BOOSTERS), DEGREE).when(F.col("low").isin(DAMPENERS), -DEGREE)
-    rows = rows.withColumn("degree", F.coalesce(step + F.when(loud(F.col("w")), F.signum(step) * CAPITALS).otherwise(0.0), F.lit(0.0)))
-    at = W.partitionBy(key).orderBy("i")
-    push = sum((F.coalesce(F.lag("degree", d).over(at), F.lit(0.0)) * FADE[d - 1] for d in (1, 2, 3)), F.lit(0.0))
-    negated = F.coalesce(F.max(F.when(F.col("low").isin(NEGATORS), 1)).over(at.rowsBetween(-3, -1)), F.lit(0)) > 0
-    rows = rows.withColumns({"push": push, "negated": negated})
-    hit = rows.join(_dimension(words), "low", "left")
-    v = F.col("valence") + F.signum("valence") * (F.when(loud(F.col("w")), CAPITALS).otherwise(0.0) + F.col("push"))
-    v = v * F.when(F.col("negated"), NEGATED).otherwise(1.0)
-    v = v * F.when((F.col("but") == 0) | (F.col("i") + 1 == F.col("but")), 1.0).when(F.col("i") + 1 < F.col("but"), BUT_BEFORE).otherwise(BUT_AFTER)
-    v = F.when(F.col("low").isin(BOOSTERS + DAMPENERS), 0.0).otherwise(F.coalesce(v, F.lit(0.0)))
-    sums = hit.withColumn("v", v).groupBy(key).agg(F.max("amp").alias("amp"), F.sum("v").alias("s"), F.sum(F.when(F.col("v") > 0, F.col("v") + 1).otherwise(0.0)).alias("p"), F.sum(F.when(F.col("v") < 0, 1 - F.col("v")).otherwise(0.0)).alias("n"), F.count_if(F.col("v") == 0).alias("z"))
-    sums = sums.select(key, "z", (F.col("s") + F.signum("s") * F.col("amp")).alias("s"), (F.col("p") + F.when(F.col("p") > F.col("n"), F.col("amp")).otherwise(0.0)).alias("p"), (F.col("n") + F.when(F.col("n") > F.col("p"), F.col("amp")).otherwise(0.0)).alias("n"))
-    total = F.col("p") + F.col("n") + F.col("z")
-    out = sums.select(key, (F.col("n") / total).alias("neg"), (F.col("z") / total).alias("neu"), (F.col("p") / total).alias("pos"), (F.col("s") / F.sqrt(F.col("s") * F.col("s") + alpha)).alias("compound"))
-    full = df.select(key).join(out, key, "left")
-    return full.select(key, *[F.coalesce(c, F.lit(d)).alias(c) for c, d in (("neg", 0.0), ("neu", 1.0), ("pos", 0.0), ("compound", 0.0))])
+    words = words.where(~F.col("low").isin(_LIFTS))  # degree words have no valence of their own
+    kept = df.columns
+    raw = df.withColumn("__w", F.regexp_extract_all(body, F.lit(r"[\p{L}\p{N}'_]+"), F.lit(0)))
+    raw = raw.withColumn("__low", F.transform("__w", F.lower))
+    mixed = F.exists("__w", lambda x: x == F.lower(x)) & F.exists("__w", lambda x: (x == F.upper(x)) & (x != F.lower(x)) & (F.length(x) > 1))
+    w, low, weigh = F.col("__w"), F.col("__low"), lambda i, x: _weighted(i, w, low, F.col("__mixed"), F.col("__but"), x)
+    listed = words.limit(LITERAL_WORDS + 1).collect()
+    if len({r.low for r in listed}) == len(listed) <= LITERAL_WORDS:
+        find = _buckets([(r.low, r.valence) for r in listed])
+        at = F.array_compact(F.transform("__low", lambda t, i: F.when(t.isin([r.low for r in listed]), F.struct(i.alias("i"), t.alias("t"))))) if listed else F.array().cast("array<struct<i:int,t:string>>")
+        rows = raw.withColumns({"__mixed": mixed, "__but": F.array_position("__low", "but"), "__at": at})
+        rows = rows.withColumn("__v", F.transform("__at", lambda p: weigh(p["i"], find(p["t"]))))
+    else:
+        raw = written(raw.withColumns({"__mixed": mixed, "__but": F.array_position("__low", "but"), "__id": F.monotonically_increasing_id()}))
+        hits = raw.select("__id", "__w", "__low", "__mixed", "__but", F.posexplode("__low").alias("__i", "low")).join(_dimension(words), "low")
+        hits = hits.select("__id", weigh(F.col("__i"), F.col("valence")).alias("__x")).groupBy("__id").agg(F.collect_list("__x").alias("__v"))
+        rows = raw.join(hits, "__id", "left").withColumn("__v", F.coalesce("__v", F.array().cast("array<double>")))
+    add = lambda f: F.aggregate("__v", F.lit(0.0), lambda a, x: a + f(x))
+    rows = rows.select(*kept, emphasis(F.coalesce(F.col(text), F.lit(""))).alias("__amp"), (F.size("__w") - F.size(F.filter("__v", lambda x: x != 0))).alias("__z"), F.size("__w").alias("__n_words"), add(lambda x: x).alias("__s"), add(lambda x: F.when(x > 0, x + 1).otherwise(0.0)).alias("__p"), add(lambda x: F.when(x < 0, 1 - x).otherwise(0.0)).alias("__n"))
+    amp, p, n = F.col("__amp"), F.col("__p"), F.col("__n")
+    sums = rows.select(*kept, "__z", "__n_words", (F.col("__s") + F.signum("__s") * amp).alias("__s"), (p + F.when(p > n, amp).otherwise(0.0)).alias("__p"), (n + F.when(n > p, amp).otherwise(0.0)).alias("__n"))
+    total, s = F.col("__p") + F.col("__n") + F.col("__z"), F.col("__s")
+    scores = {"neg": (F.col("__n") / total, 0.0), "neu": (F.col("__z") / total, 1.0), "pos": (F.col("__p") / total, 0.0), "compound": (s / F.sqrt(s * s + alpha), 0.0)}
+    return sums.select(*[c for c in kept if c not in scores], *[F.when(F.col("__n_words") > 0, x).otherwise(empty).alias(c) for c, (x, empty) in scores.items()])
+
+
+def polarity_scores(df: DataFrame, valence: DataFrame, key: str = "doc_id", text: str = "text", alpha: float = 15.0, idioms: list[tuple[str, float]] | None = None) -> DataFrame:
+    """(key, neg, neu, pos, compound) of each row by with_polarity."""
+    return with_polarity(df.select(key, text), valence, text, alpha, idioms).drop(text)
