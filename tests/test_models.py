@@ -109,3 +109,43 @@ def test_stream_equals_batch(spark, corpus_df, model, tmp_path):
     more.write.mode("append").parquet(src)
     stream.run_available(stream.read_files(spark, src, corpus_df.schema), out, ck, lambda d: stream.score_stream(d, model))
     assert spark.read.parquet(out).count() == 26
+
+
+def test_svd_keeps_its_rows_and_lets_them_go(spark, corpus_df, monkeypatch):
+    from pyspark.mllib.linalg.distributed import RowMatrix
+
+    rows = models.fit_tfidf(d := models.labelled(corpus_df)).transform(d)
+    kept = []
+    solve = RowMatrix.computeSVD
+    held = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    before = held()
+    monkeypatch.setattr(RowMatrix, "computeSVD", lambda self, *a, **b: kept.append(held() - before) or solve(self, *a, **b))
+    assert models.svd_components(rows, k=3).shape[1] == 3
+    assert kept == [1] and held() == before
+
+
+def test_short_rows_are_dealt_to_all_cores(spark, corpus_df, monkeypatch):
+    seen = []
+    monkeypatch.setattr(models, "written", lambda df, *a, f=models.written: seen.append(df.rdd.getNumPartitions()) or f(df, *a))
+    models.fit_forest(models.labelled(corpus_df).coalesce(1), k=3, trees=3)
+    assert seen[-1] == 2 * spark.sparkContext.defaultParallelism
+
+
+def test_batch_predictions_are_made_once(corpus_df, model):
+    every, wrong = serve.export(corpus_df, model)
+    for d in (every, wrong):
+        assert "UDF" not in d._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_round_trip_and_split_move_no_text(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from textloom.plans import model_queries
+
+    sf = "/root/testdata/sf0.001"
+    out = entry.queries()["model_round_trip"](spark, sf)
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    ranked = []
+    monkeypatch.setattr(model_queries.sampling, "stratified_split", lambda d, *a, f=model_queries.sampling.stratified_split: ranked.append(d.columns) or f(d, *a))
+    train, test = model_queries.split(spark, sf)
+    assert ranked == [["doc_id", "label", "__row"]] and "text" not in train.columns
+    assert train.count() + test.count() == model_queries.labelled_docs(spark, sf).count()

@@ -11,6 +11,7 @@ from textloom.functions.scalars import normalize_label
 from textloom.functions.tokens import tokenize
 from textloom.operators.evaluate import misclassified
 from textloom.operators.models import predict
+from textloom.sources.shared import written
 
 
 class BadRequest(ValueError):
@@ -39,7 +40,8 @@ def predict_one(spark: SparkSession, model: PipelineModel | None, text: str) ->
 def export(df: DataFrame, model: PipelineModel, label: str = "label", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(all rows with pred_label, confidence and is_correct; the misclassified ones)."""
     out = predict(prepared(df, text), model).drop("clean", "tokens")
-    out = out.withColumn("is_correct", normalize_label(F.col(label)) == F.col("pred_label"))
+    # Written, as a filter on a prediction would repeat the whole model for each mention of the label.
+    out = written(out.withColumn("is_correct", normalize_label(F.col(label)) == F.col("pred_label")))
     return out, misclassified(out, label, "pred_label")
 
 
