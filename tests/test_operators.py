@@ -286,6 +286,35 @@ def test_polarity_moves_no_text(spark, monkeypatch):
     assert {r.post_id: round(r.compound, 9) for r in rich.collect()} == {k: x[3] for k, x in got.items()}
 
 
+def test_negation_moves_no_tokens(spark):
+    rows = [(1, ["not", "a", "b", "good", "good"]), (2, ["never", " ", "", "good", None, "bad"]), (3, [None, "good"]), (4, None), (5, [])]
+    df = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+    out = lexicon.with_scope(df, "doc_id", "tokens")
+    assert not any(x in out._jdf.queryExecution().optimizedPlan().toString() for x in ("Window", "Sort", "Join"))
+    want = {(1, 1, "a", True), (1, 2, "b", True), (1, 3, "good", True), (1, 4, "good", False), (2, 3, "good", True), (2, 5, "bad", False), (3, 1, "good", False)}
+    assert {tuple(r) for r in out.collect()} == want
+
+
+def test_raters_get_few_prompts_at_once(spark):
+    df = spark.range(1000).select(F.col("id").cast("string").alias("cache_key"), F.concat(F.lit("p"), "id").alias("prompt")).coalesce(1)
+    seen = spark.sparkContext.accumulator(0)
+
+    def rater(p):
+        import pyarrow
+
+        assert labeling.SLICE < 1000 and len(p) > 1 and pyarrow
+        seen.add(1)
+        if p == "p7":
+            raise RuntimeError
+        return "Positive"
+
+    out = labeling.rate(df, rater, attempts=2)
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.cache_key: (r.label, r.failed) for r in out.collect()}
+    assert got["7"] == ("neutral", True) and len(got) == 1000 and sum(x == ("positive", False) for x in got.values()) == 999
+    assert seen.value == 1001
+
+
 def test_csv_keeps_null_and_empty_apart(spark, tmp_path):
     rows = [(1, "", "x"), (2, None, ""), (3, "a\r\nb\r", None), (4, '"",\n"', "\\"), (None, " ", "\0")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")

@@ -43,12 +43,17 @@ def scored_fold(tokens: Column, polarity, negators: list[str] | None = None, sco
 
 
 def with_scope(df: DataFrame, key: str, tokens: str, negators: list[str] | None = None, scope: int = SCOPE) -> DataFrame:
-    """(key, pos, token, flipped): non-negation tokens; flipped where the latest negator is at most scope back."""
+    """(key, pos, token, flipped): non-negation tokens; flipped where the latest negator is at most
+    scope back.  A row looks back in its own array, so tokens are neither shuffled nor sorted."""
     neg = NEGATORS if negators is None else negators
-    rows = df.select(key, F.posexplode_outer(tokens).alias("pos", "token")).where(F.trim("token") != "")
-    last = F.max(F.when(F.col("token").isin(neg), F.col("pos"))).over(W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, -1))
-    out = rows.withColumn("last", last).where(~F.col("token").isin(neg))
-    return out.select(key, "pos", "token", F.coalesce(F.col("pos") - F.col("last") <= scope, F.lit(False)).alias("flipped"))
+    off = lambda t: F.coalesce(t.isin(neg) & (F.trim(t) != ""), F.lit(False))
+
+    def seen(t: Column, i: Column) -> Column:
+        flipped = reduce(lambda a, b: a | b, (off(F.get("__t", i - d)) for d in range(1, scope + 1)), F.lit(False))
+        return F.when((F.trim(t) != "") & ~t.isin(neg), F.struct(i.alias("pos"), t.alias("token"), flipped.alias("flipped")))
+
+    rows = df.select(key, F.col(tokens).alias("__t"))
+    return rows.select(key, F.explode(F.array_compact(F.transform("__t", seen))).alias("__x")).select(key, "__x.*")
 
 
 def ratio(pos: Column, neg: Column) -> Column:
